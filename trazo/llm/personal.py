@@ -44,7 +44,7 @@ NAME_CUES = (
     "apunta a", "el dibujo es de", "se sienta conmigo", "ha venido", "habla con", "hablé con", "pregunta por", "de parte de", "nombre:",
     "alumno:", "alumna:", "paciente:", "madre:", "padre:", "avisa a", "a nombre de",
 )
-NAME_AFTERCUES = ("me ayudó", "trajo un", "trajo una", "y no mío", "y tengo", "que ya", "ha venido", "vino ayer", "me dijo", "dice que", "me enseñó")
+NAME_AFTERCUES = ("me ayudó", "trajo un", "trajo una", "y no mío", "ha venido", "vino ayer", "me dijo", "me enseñó")
 NOT_NAMES = frozenset(
     """semana santa sala año nuevo navidad reyes magos feria tortuga veloz lunes martes miércoles miercoles jueves viernes sábado sabado domingo
     enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre aula colegio escuela instituto biblioteca museo parque
@@ -57,7 +57,7 @@ NOT_NAMES = frozenset(
     verde roja rojo azul blanca negra amarilla ventura feliz padre madre hermano hermana señor señora doña don sra sr the and our was near""".split()
 )
 
-_NAME_ANCHORS = frozenset(("given", "title", "cue"))
+_NAME_ANCHORS = frozenset(("given", "title", "cue", "after"))
 _initial = re.compile(r"(?<![^\W_])[^\W\d_]\.\s?[^\W\d_]{3}")
 _two_capitals = re.compile(r"[A-ZÁÉÍÓÚÑÜ][a-záéíóúñü]{2,}(?: (?:de|del|de la))? [A-ZÁÉÍÓÚÑÜ][a-záéíóúñü]{3}")
 _word = re.compile(r"[^\W\d_ªº]+(?:['’-][^\W\d_ªº]+)*")
@@ -391,9 +391,9 @@ class Finder:
             cued = any(c <= words[s][0] and not text[c : words[s][0]].strip(" :\u00bf\u00a1,") for c in cues)
             ends = any(c >= b and not text[b:c].strip(" ") for c in behind)
             if style[i] == "T" and plain_case and not mid:
-                if not (cued or ends or p == i + 1 and self._alone(text, a, b)) and self._sentence_start(text, a):
-                    continue
-            elif not cued and not (ends and self._sentence_start(text, a)) and not (ends and i and words[i - 1][2].lower() == "ayer"):
+                if not (cued or ends or p == i + 1 and self._alone(text, a, b)) and (self._sentence_start(text, a) or len(words[i - 1][2]) < 4 and between(i - 1) == ""):
+                    continue  # a place behind its preposition, or a sentence's first word
+            elif words[i][2].lower() in _ARTICLES or not cued and not (ends and self._sentence_start(text, a) and text[b : b + 4].lower() == " me ") and not (ends and i and words[i - 1][2].lower() == "ayer"):
                 continue
             take(s, end)
 
