@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: white space as Python's str.split sees it.
-WHITE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Fixed value: leading non-word, core, trailing non-word characters of a token.
 AFFIX = r"(?s)^([^\p{L}\p{N}_]*)(.*?)([^\p{L}\p{N}_]*)$"
 TITLE = r"^[^\p{Lu}\p{Ll}]*(?:\p{Lu}\p{Ll}*(?:[^\p{Lu}\p{Ll}]+|$))+$"
