@@ -111,7 +111,7 @@ LANGUAGE_WORDS = {
 _LANG = {k: frozenset(v.split()) for k, v in LANGUAGE_WORDS.items()}
 _LETTERS = {"es": "ñ¿¡", "fr": "çœêèùûîô", "de": "äöüß", "pt": "ãõçâê"}
 _word = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
-_unseen = re.compile("[­​-‏⁠﻿]")
+_unseen = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
 
 def accepted(c: Column) -> Column:
