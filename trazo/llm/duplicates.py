@@ -12,13 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trazo.session import durable
+
 #: A group above this share of all rows is hot; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 500
 
 
 def normal_leaf(c: Column) -> Column:
     """The words of a text: longest runs of letters and digits, without regard to case, one blank between; null has none."""
-    return F.trim(F.regexp_replace(F.lower(F.upper(F.coalesce(c.cast("string"), F.lit("")))), r"[^\p{L}\p{Nd}]+", " "))
+    low = F.translate(F.replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), F.lit("\u00df"), F.lit("ss")), "\u017f\u03c2", "s\u03c3")
+    return F.trim(F.regexp_replace(low, r"[^a-z0-9\p{L}\p{Nd}]+", " "))
 
 
 def canonical(c: Column, kind: T.DataType, ordered: bool = False) -> Column:
@@ -86,18 +89,36 @@ def groups(df: DataFrame, id_col: str, fields: list[str], ordered: bool = False)
     group may hold any share of the rows. Only the join back of members to groups meets
     whole groups; hot groups, at most 1 / HOT_SHARE by definition, take a broadcast there.
     """
-    record = F.struct(*[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
-    kind = T.StructType([T.StructField(f"f{i}", df.schema[f].dataType) for i, f in enumerate(fields)])
-    keyed = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), record.alias("r"))
-    nodes = keyed.select("id", digest(F.col("r"), kind, ordered).alias("root"), canonical(F.col("r"), kind, ordered).alias("whole"))
+    nodes = _nodes(df, id_col, fields, ordered)
     found = nodes.groupBy("root").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("rows"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("rep < last")
-    found = found.select("root", "rep", "rows", (F.col("lo") == F.col("hi")).alias("same"))
+    found = durable(found.select("root", "rep", "rows", (F.col("lo") == F.col("hi")).alias("same")))
     members = _join(nodes.select("id", "root"), found.where("same").select("root", "rep", "rows"), df.count()).distinct()
+    if found.where("not same").isEmpty():
+        return members
     # a digest shared by different structures: grouped again by the structures themselves
     odd = nodes.join(found.where("not same").select("root"), "root", "left_semi").select("id", "whole").distinct()
     again = odd.join(odd.groupBy("whole").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "whole").select("id", "rep")
-    both = members.select("id", "rep").unionByName(again)
-    return both
+    return members.unionByName(again)
+
+
+def _nodes(df: DataFrame, id_col: str, fields: list[str], ordered: bool) -> DataFrame:
+    """(id, root, whole) of every row: the id, the root digest and the whole normalised structure."""
+    rows = df.where(F.col(id_col).isNotNull())
+    if all(isinstance(df.schema[f].dataType, T.StringType) for f in fields):
+        # leaves as columns of their own, each normalised once a row
+        names = [f"n{i}" for i in range(len(fields))]
+        rows = rows.select(F.col(id_col).cast("long").alias("id"), *[normal_leaf(F.col(f)).alias(n) for f, n in zip(fields, names)])
+        kids = [_hash(F.col(n).cast("binary")) for n in names]
+        if len(names) == 2:
+            low, high = F.least("n0", "n1"), F.greatest("n0", "n1")
+            return rows.select("id", _hash(F.concat(F.lit(b"n"), F.least(*kids), F.greatest(*kids))).alias("root"), F.concat(_framed(low), _framed(high)).alias("whole"))
+        sort = F.array_sort
+        root = _hash(F.concat(F.lit(b"n"), F.aggregate(sort(F.array(*kids)), F.lit(b""), lambda a, x: F.concat(a, x))))
+        return rows.select("id", root.alias("root"), F.array_join(F.transform(sort(F.array(*names)), _framed), "").alias("whole"))
+    record = F.struct(*[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
+    kind = T.StructType([T.StructField(f"f{i}", df.schema[f].dataType) for i, f in enumerate(fields)])
+    keyed = rows.select(F.col(id_col).cast("long").alias("id"), record.alias("r"))
+    return keyed.select("id", digest(F.col("r"), kind, ordered).alias("root"), canonical(F.col("r"), kind, ordered).alias("whole"))
 
 
 def copies(members: DataFrame) -> DataFrame:
@@ -109,11 +130,14 @@ def _join(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
     """Rows with their group's rep; groups above HOT_SHARE of all rows are broadcast, the others shuffled."""
     most = max(1000, int(total * HOT_SHARE))
     hot = found.where(F.col("rows") > most).select("root", "rep")
+    if hot.isEmpty():
+        return rows.join(found.select("root", "rep"), "root").select("id", "rep")
     cold = found.where(F.col("rows") <= most).select("root", F.col("rep").alias("cold_rep"))
     marked = rows.join(F.broadcast(hot), "root", "left")
-    done = marked.where("rep is not null").select("id", "rep")
-    rest = marked.where("rep is null").select("id", "root").join(cold, "root").select("id", F.col("cold_rep").alias("rep"))
-    return done.unionByName(rest)
+    # rows of hot groups are done; they go on under keys of their own
+    marked = marked.select("id", "rep", F.when(F.col("rep").isNull(), F.col("root")).otherwise(_hash(F.col("id").cast("string").cast("binary"))).alias("root"))
+    both = marked.join(cold, "root", "left")
+    return both.select("id", F.coalesce("rep", "cold_rep").alias("rep")).where("rep is not null")
 
 
 def found_pairs(tables: list[tuple[str, DataFrame, str, list[str]]]) -> DataFrame:
