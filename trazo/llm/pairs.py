@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trazo.session import durable
+
 SHINGLE, SIMILAR = 5, 0.8
 #: What the service reads as true.
 TRUE_WORDS = ("true", "1", "t", "y", "yes")
@@ -304,7 +306,7 @@ def defects(rows: DataFrame, lexicon: list[str]) -> DataFrame:
             out = b[["history_id"]].assign(defect=found, words=[words(p) if f == "copy" else None for p, f in zip(b["prompt"], found)])
             yield out[out["defect"].notna()]
 
-    judged = rows.mapInPandas(judge, "history_id long, defect string, words array<string>")
+    judged = durable(rows.mapInPandas(judge, "history_id long, defect string, words array<string>"))
     sure = judged.where("defect <> 'copy'").select("history_id", "defect")
     copies = judged.where("defect = 'copy'")
     asked = copies.select("history_id", F.explode("words").alias("word"))
