@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trazo.llm import duplicates, lookalikes, mixing, packing, pairs, personal, terms, tokens, truncation
 from trazo.llm.sql import ORACLE  # noqa: F401
+from trazo.session import durable
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -95,7 +96,7 @@ def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_packed_each(spark: SparkSession, sf: str) -> DataFrame:
     """Every capacity by itself, one assignment of all texts for each."""
-    sized = _sized(spark, sf).select(F.col("doc_id").alias("id"), F.col("tokens").alias("size"))
+    sized = durable(_sized(spark, sf).select(F.col("doc_id").alias("id"), F.col("tokens").alias("size")))
     n, out = _t(spark, sf, "documents").count(), None
     for c in sorted(_capacities(spark, sf)):
         one = packing.assign(sized, [c], n).select(F.lit(c).cast("long").alias("capacity"), "bin", "id", "part", "size", "filled")

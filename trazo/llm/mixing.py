@@ -15,6 +15,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trazo.session import durable
+
 #: Slots of a period, which is the resolution of the weights.
 PERIOD = 1000
 #: Tokens of a block.
@@ -72,7 +74,7 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS,
     if len(want) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} targets")
     used = sorted({r.source for r in want if r.source is not None})
-    rows = sized.where(F.col("source").isin(used) & (F.col("tokens") > 0)).select("doc_id", "source", "tokens")
+    rows = durable(sized.where(F.col("source").isin(used) & (F.col("tokens") > 0)).select("doc_id", "source", "tokens"))
     have = {r.source: (r.tokens, r.n) for r in rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()}
     plan, places = [], []
     for name in sorted({r.mix for r in want if r.mix is not None}):
