@@ -48,6 +48,8 @@ _FOREIGN = "\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u0261\u0131"
 SUSPECT = f"[{UNSEEN}{BLANKS}{BREAKS}{_FORMS}{_MARKS}{_FOREIGN}]"
 _suspect = re.compile(SUSPECT)
 _token = re.compile(rf"[^\W\d_{_FOREIGN}]*[{_FOREIGN}](?:[^\W\d_]|[{_MARKS}]|[{UNSEEN}])*")
+#: What makes a capital behind or before it part of a number.
+_numbered, _numbering = re.compile(r"\d[ -]{0,2}$"), re.compile(r"[ -]{0,2}\d{4}")
 _emoji = re.compile("[\u00a9\u00ae\u203c-\u3299\U0001f000-\U0001faff\U000e0020-\U000e007f]")
 
 
@@ -151,7 +153,7 @@ def fold(text: str, known=None) -> tuple[str, list[int] | None]:
         return text, None
     out, at = _chars(text)
     joined = "".join(out)
-    fixed = _token.sub(lambda m: repair_token(m[0], known), joined)
+    fixed = _token.sub(lambda m: _bare(m[0]) if len(m[0]) == 1 and m[0].isupper() and (_numbered.search(joined, max(0, m.start() - 3), m.start()) or _numbering.match(joined, m.end())) else repair_token(m[0], known), joined)
     if len(fixed) != len(joined):  # a twin of two characters: keep the places right by leaving it out
         fixed = _token.sub(lambda m: r if len(r := repair_token(m[0], known)) == len(m[0]) else m[0], joined)
     return fixed, at

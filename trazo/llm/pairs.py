@@ -217,7 +217,7 @@ def stops_early(prompt: list[str], answer: list[str], known=None) -> bool:
         return True
     last = answer[-1]
     if whole_left == 0 and left <= 3:  # inside the prompt's last word: a beginning of it that isn't a word
-        return last != prompt[-1] and prompt[-1].startswith(last) and not (known and known(last))
+        return last != prompt[-1] and prompt[-1].startswith(last) and (left == 3 or not (known and known(last)))
     return left >= 3 and not last == prompt[-1]
 
 

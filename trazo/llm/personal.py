@@ -48,7 +48,7 @@ NAME_AFTERCUES = ("me ayudó", "trajo un", "trajo una", "y no mío", "ha venido"
 NOT_NAMES = frozenset(
     """semana santa sala año nuevo navidad reyes magos feria tortuga veloz lunes martes miércoles miercoles jueves viernes sábado sabado domingo
     enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre aula colegio escuela instituto biblioteca museo parque
-    hoy ayer mañana ahora luego entonces después despues antes nunca siempre también tampoco quiero tengo dice creo parece seguro todavía
+    dile díselo apunta firmado firma fdo llamo llama llámale habla nombre avisa escribe escríbele respóndele copia ficha hoja lo hoy ayer mañana ahora luego entonces después despues antes nunca siempre también tampoco quiero tengo dice creo parece seguro todavía
     nadie nuestro nuestra vuestro gracias adiós hola buenos buenas días tardes noches profe exp tel tfno móvil movil dni nif nie correo contacto
     domicilio vivo mandad manda escríbeme escribeme llámame llamame respondan contesta identidad pregunta cuesta cita del los las una uno unos unas
     que quién quien qué cómo cuando donde porque pero aunque mientras para por con sin sobre entre hasta desde hacia según segun bajo ante tras
@@ -393,7 +393,7 @@ class Finder:
             if style[i] == "T" and plain_case and not mid:
                 if not (cued or ends or p == i + 1 and self._alone(text, a, b)) and (self._sentence_start(text, a) or len(words[i - 1][2]) < 4 and between(i - 1) == ""):
                     continue  # a place behind its preposition, or a sentence's first word
-            elif words[i][2].lower() in _ARTICLES or not cued and not (ends and self._sentence_start(text, a) and text[b : b + 4].lower() == " me ") and not (ends and i and words[i - 1][2].lower() == "ayer"):
+            elif words[i][2].lower() in _ARTICLES or not cued and not (ends and self._begins(text, a, closed) and text[b : b + 4].lower() == " me ") and not (ends and i and words[i - 1][2].lower() == "ayer"):
                 continue
             take(s, end)
 
@@ -402,6 +402,12 @@ class Finder:
         head = text[:a].rstrip(" ¿¡\"«(“—-")
         return not head or head[-1] in ".!?…\n:"
 
+    @staticmethod
+    def _begins(text: str, a: int, closed: list[tuple[int, int]]) -> bool:
+        """No word that is still open stands right before the place."""
+        head = text[:a].rstrip()
+        return not head or not head[-1].isalpha() or _inside(len(head) - 1, closed)
+
     @staticmethod
     def _alone(text: str, a: int, b: int) -> bool:
         """The span is a sentence of its own."""
