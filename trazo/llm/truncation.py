@@ -19,6 +19,8 @@ from trazo.session import durable
 
 #: A context counts if seen so often; a share of ends up to ENDS is almost never.
 LEAST, ENDS = 4, 0.04
+#: Least share of a context's occurrences that go on; a closing line at which many texts end has less.
+INNER = 0.7
 #: A word is cut in two if its longer forms follow the same context so often.
 LEAST_FORMS = 2
 #: A length is a field limit if so many texts of a source have it, and so many times as many as its neighbours on average.
@@ -115,12 +117,12 @@ judged AS (
       -- a line of its own that other texts end with and no word goes on from
       WHEN seen3 >= {least} AND in3 = 0 AND f3 <= seen3 AND b IN ('^', '*^') THEN NULL
       WHEN l.size IS NOT NULL OR m.size IS NOT NULL THEN 'limit'
-      WHEN in3 + end3 >= {least} AND end3 <= {ends} * (in3 + end3)
+      WHEN in3 + end3 >= {least} AND in3 >= {inner} * seen3 AND end3 <= {ends} * (in3 + end3)
            AND (end2 <= {ends} * (in2 + end2) OR end2 * (in3 + end3) >= 5 * (in2 + end2) AND end3 <= 0.1 * end2 * (in3 + end3) / (in2 + end2)) THEN 'trigram'
       WHEN in3 + end3 = 0 AND f3 >= {least_forms} AND seen1 <= 0.02 * f1 THEN 'word'
-      WHEN seen3 < {least} AND in2 + end2 >= 6 * {least} AND end2 <= {ends} * (in2 + end2) THEN 'bigram'
+      WHEN seen3 < {least} AND in2 >= {inner} * seen2 AND in2 + end2 >= 6 * {least} AND end2 <= {ends} * (in2 + end2) THEN 'bigram'
       WHEN in2 + end2 = 0 AND f2 >= {least_forms} AND seen1 <= 0.02 * f1 THEN 'word'
-      WHEN seen2 < {least} AND in1 + end1 >= 10 * {least} AND end1 <= 0.5 * {ends} * (in1 + end1) THEN 'unigram'
+      WHEN seen2 < {least} AND in1 >= {inner} * seen1 AND in1 + end1 >= 10 * {least} AND end1 <= 0.5 * {ends} * (in1 + end1) THEN 'unigram'
       WHEN in2 + end2 = 0 AND f1 >= 10 * {least_forms} AND seen1 <= 0.01 * f1 THEN 'word'
     END AS why
   FROM joined j
@@ -136,7 +138,7 @@ SELECT doc_id, source, why FROM judged WHERE why IS NOT NULL
 
 def verdicts(counted: str, tails: str) -> str:
     """SQL of the cut texts, given the views of the counts and the tails."""
-    return VERDICTS.format(counts=counted, tails=tails, least=LEAST, ends=ENDS, least_forms=LEAST_FORMS, limit_texts=LIMIT_TEXTS, limit_times=LIMIT_TIMES)
+    return VERDICTS.format(counts=counted, tails=tails, least=LEAST, ends=ENDS, least_forms=LEAST_FORMS, inner=INNER, limit_texts=LIMIT_TEXTS, limit_times=LIMIT_TIMES)
 
 
 def truncated(docs: DataFrame) -> DataFrame:
