@@ -101,8 +101,9 @@ joined AS (
   LEFT JOIN heads1 h1 ON o.c = h1.head
 ),
 lengths AS (
-  SELECT source, unit, n_chars AS size, count(*) AS n FROM (
-    SELECT source, 'char' AS unit, n_chars FROM tails WHERE NOT shut UNION ALL SELECT source, 'byte', n_bytes FROM tails WHERE NOT shut)
+  -- copies of one text count once
+  SELECT source, unit, n_chars AS size, count(DISTINCT body) AS n FROM (
+    SELECT source, 'char' AS unit, n_chars, body FROM tails WHERE NOT shut UNION ALL SELECT source, 'byte', n_bytes, body FROM tails WHERE NOT shut)
   GROUP BY source, unit, n_chars
 ),
 around AS (
