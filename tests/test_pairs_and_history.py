@@ -131,3 +131,33 @@ def test_queries_agree_with_sql(spark, name):
     cols = [c[0] for c in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r[c] for c in cols)) for r in df.collect())
+
+
+def test_numbers_over_stretches(spark):
+    rows = [("u", i, f"e{i}", "c") for i in (5, 1, 9, 3, 7)] + [(None, 2, "x", "y"), (None, 1, "x", None)]
+    df = spark.createDataFrame(rows, "user_id string, seq bigint, erronea string, corregida string")
+    for bucket in (2, 1000):
+        got = sorted((str(r.user_id), r.nth, r.erronea, r.corregida) for r in H.ordered_pairs(df, bucket).collect())
+        assert got == [("None", 1, "x", None), ("None", 2, "x", "y")] + [("u", n, f"e{i}", "c") for n, i in enumerate((1, 3, 5, 7, 9), 1)]
+
+
+def test_numbered_over_partitions(spark):
+    from trazo.session import numbered
+
+    df = spark.range(100).repartition(7).orderBy("id")
+    assert [(r.id, r.n) for r in numbered(df, "n").orderBy("id").collect()] == [(i, i + 1) for i in range(100)]
+
+
+def test_jobs(spark, tmp_path):
+    from trazo.plans import jobs
+
+    docs = spark.createDataFrame([("es ", "Una frase bastante larga para entrar."), ("en", "A sentence long enough to enter.")], "lang string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(i, "u", i, f"e{i}", f"c{i}") for i in range(5)] + [(9, "v", 1, "e", "c")]
+    spark.createDataFrame(rows, "history_id bigint, user_id string, seq bigint, erronea string, corregida string").write.parquet(str(tmp_path / "user_history.parquet"))
+    jobs.main(["pairs", "--sf_dir", str(tmp_path), "--out", str(tmp_path / "p")])
+    assert [r.corregida for r in T.read_pairs_csv(spark, str(tmp_path / "p")).collect()] == ["Una frase bastante larga para entrar."]
+    jobs.main(["user-pairs", "--sf_dir", str(tmp_path), "--out", str(tmp_path / "q"), "--user_id", "u"])
+    assert T.read_pairs_csv(spark, str(tmp_path / "q")).count() == 5
+    with pytest.raises(ValueError):
+        jobs.user_pairs(spark, str(tmp_path), "v")

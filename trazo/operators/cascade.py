@@ -116,7 +116,9 @@ def layers(tokens: DataFrame, lex: DataFrame, vocabulary: DataFrame, judge: Judg
             unknown &= ~F.col("lower").rlike(r"^\p{Nd}+$")
         near = fuzzy.closest(rows.where(unknown).select(F.col("lower").alias("word")), lex)
         near = near.select(F.col("word").alias("_w"), F.transform("suggestions", lambda s: s["term"]).alias("near"))
-        rows = rows.withColumn("_ask", F.when(unknown, F.col("lower"))).join(near, F.col("_ask") == F.col("_w"), "left").drop("_w", "_ask")
+        # only unknown words meet the fuzzy terms; the others would all share the null key
+        asked = rows.where(unknown).join(near, F.col("lower") == F.col("_w"), "left").drop("_w")
+        rows = rows.where(~unknown).withColumn("near", F.lit(None).cast("array<string>")).unionByName(asked)
     else:
         rows = rows.withColumn("near", F.lit(None).cast("array<string>"))
     rows = rows.withColumn("cands", F.when(F.col("layer") == "H4", F.col("homophones")).when(F.col("layer") == "H8", F.col("near")))

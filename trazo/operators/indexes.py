@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trazo.functions import text as X
+from trazo.session import numbered
 
 
 def lexicon(raw: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def lexicon_from_texts(texts: DataFrame, least: int = 3) -> DataFrame:
     """(term, rank, freq) counted from (text): lower-cased letters-only cores seen at least so often, by frequency and then term."""
     words = texts.select(F.explode(X.tokens(F.col("text"))).alias("w")).select(F.lower(X.core(F.col("w"))).alias("term")).where(F.col("term").rlike("^[a-záéíóúüñ]+$"))
     counts = words.groupBy("term").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
-    return counts.select("term", F.row_number().over(Window.orderBy(F.desc("freq"), "term")).alias("rank"), "freq")
+    return numbered(counts.orderBy(F.desc("freq"), "term"), "rank").select("term", F.col("rank").cast("int").alias("rank"), "freq")
 
 
 def phonetic_index(lex: DataFrame) -> DataFrame:

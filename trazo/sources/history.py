@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from trazo.functions import text as X
 
+#: Sequence numbers of a user that one task orders.
+BUCKET_SEQ = 100_000
+
 
 def accepted_feedback(feedback: DataFrame) -> DataFrame:
     """Feedback that is kept: accepted, and neither text empty or null. Columns user_id, original, corrected, accepted and others."""
@@ -77,7 +80,15 @@ class HistoryStore:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
-def ordered_pairs(history: DataFrame) -> DataFrame:
-    """(user_id, nth, erronea, corregida): each user's pairs numbered in file order."""
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("seq", "erronea", "corregida"))
-    return history.select("user_id", nth.alias("nth"), "erronea", "corregida")
+def ordered_pairs(history: DataFrame, bucket: int = BUCKET_SEQ) -> DataFrame:
+    """(user_id, nth, erronea, corregida): each user's pairs numbered in file order.
+
+    A user may hold any share of the rows: pairs are numbered within stretches of ``bucket``
+    sequence numbers, and each stretch begins where the ones before it end.
+    """
+    rows = history.select("user_id", "seq", F.floor(F.col("seq") / F.lit(bucket)).alias("b"), "erronea", "corregida")
+    counts = rows.groupBy("user_id", "b").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("user_id").alias("_u"), F.col("b").alias("_b"), (F.sum("n").over(Window.partitionBy("user_id").orderBy("b")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("user_id", "b").orderBy("seq", "erronea", "corregida"))
+    joined = rows.withColumn("i", inside).join(before, F.col("user_id").eqNullSafe(F.col("_u")) & F.col("b").eqNullSafe(F.col("_b")))
+    return joined.select("user_id", (F.col("before") + F.col("i")).alias("nth"), "erronea", "corregida")

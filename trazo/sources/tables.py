@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trazo.functions import text as X
+from trazo.session import numbered
 
 #: Dimension tables of a fixed size may go to every task up to this many rows.
 MOST_DIMENSION_ROWS = 500_000
@@ -31,11 +32,9 @@ def read_frequency_file(spark: SparkSession, path: str) -> DataFrame:
 
     The line order is the order of the file's blocks, so ranks are right for one file of any size.
     """
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    parts = lines.select("at", X.tokens(F.col("value")).alias("p")).where("size(p) > 1")
-    parts = parts.select("at", F.lower(F.col("p")[0]).alias("term"), F.try_to_number(F.col("p")[1], F.lit("9999999999999999")).cast("long").alias("freq"))
-    ordered = parts.select((F.row_number().over(Window.orderBy("at"))).alias("rank"), "term", "freq")
-    return ordered
+    parts = spark.read.text(path).select(X.tokens(F.col("value")).alias("p")).where("size(p) > 1")
+    parts = parts.select(F.lower(F.col("p")[0]).alias("term"), F.try_to_number(F.col("p")[1], F.lit("9999999999999999")).cast("long").alias("freq"))
+    return numbered(parts, "rank").select(F.col("rank").cast("int").alias("rank"), "term", "freq")
 
 
 def parallel_sentences(df: DataFrame, column: str = "translation.es") -> DataFrame:
