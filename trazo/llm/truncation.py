@@ -26,9 +26,12 @@ LEAST_FORMS = 2
 #: A length is a field limit if so many texts of a source have it, and so many times as many as its neighbours on average.
 LIMIT_TEXTS, LIMIT_TIMES = 5, 10
 
+#: SQL literals: a line of a list, and a word.
+LISTED = r"'^\\s*[-*\\u2022\\u2013]\\s|^[ \\t]{2,}'"
+WORD = r'''"[\\p{L}\\p{M}#]+(?:['\\u2019-][\\p{L}\\p{M}#]+)*"'''
 #: {docs} is a relation with doc_id, source, text. Written for Spark SQL; every aggregate
 #: combines before its shuffle and every join is on keys that no text shares with many.
-SPOKEN = r"""
+PARTS = r"""
 WITH docs AS (
   SELECT doc_id, source, regexp_replace(text, '[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]', '') AS text
   FROM {docs} WHERE doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''
@@ -38,15 +41,20 @@ parts AS (
          -- a line break behind every sentence, numbers all alike
          split(regexp_replace(regexp_replace(lower(rtrim(' \n\r\t', text)), '[0-9]+', '#'), '([.!?\\u2026]["\\u00bb\\u201d\\u2019)\\]]*)\\s+', '$1\n'), '\n+') AS segments
   FROM docs
-),
+)
+"""
+SPOKEN = (
+    PARTS
+    + r""",
 segments AS (
   SELECT doc_id, p.pos AS at, p.pos < size(segments) - 1 OR p.col RLIKE '[.!?\\u2026]["\\u00bb\\u201d\\u2019)\\]\\s]*$' AS closed,
-         p.col RLIKE '^\\s*[-*\\u2022\\u2013]\\s|^[ \\t]{{2,}}' AS listed,  -- a line of a list has counts of its own
-         concat(array('^', '^'), regexp_extract_all(p.col, "[\\p{{L}}\\p{{M}}#]+(?:['\\u2019-][\\p{{L}}\\p{{M}}#]+)*", 0)) AS words
+         p.col RLIKE {listed} AS listed,  -- a line of a list has counts of its own
+         concat(array('^', '^'), regexp_extract_all(p.col, {word}, 0)) AS words
   FROM parts LATERAL VIEW OUTER posexplode(segments) p
 ),
 spoken AS (SELECT doc_id, at, closed, IF(listed, transform(words, x -> concat('*', x)), words) AS w, size(words) AS n FROM segments)
 """
+)
 COUNTS = (
     SPOKEN
     + r""",
@@ -59,43 +67,66 @@ grams AS (
 SELECT a, b, c, sum(inner_) AS inside, sum(ended) AS ends, count(*) AS seen FROM grams GROUP BY a, b, c
 """
 )
-#: The last trigram of every text, and the signs at its end.
+#: The last trigram of every text, and the signs at its end; no shuffle.
 TAILS = (
-    SPOKEN
+    PARTS
     + r""",
-last_segment AS (SELECT doc_id, max(IF(n > 2, struct(at, w, n), NULL)) AS s FROM spoken GROUP BY doc_id)
-  SELECT p.doc_id, p.source, p.n_chars, p.n_bytes, p.body,
-         s.w[s.n - 3] AS a, s.w[s.n - 2] AS b, s.w[s.n - 1] AS c,
+ends_ AS (
+  SELECT *, try_element_at(filter(segments, x -> x RLIKE '[\\p{{L}}#]'), -1) AS segment FROM parts
+),
+last_ AS (
+  SELECT *, segment RLIKE {listed} AS listed, concat(array('^', '^'), regexp_extract_all(segment, {word}, 0)) AS words FROM ends_ WHERE segment IS NOT NULL
+),
+spoken AS (SELECT *, IF(listed, transform(words, x -> concat('*', x)), words) AS w, size(words) AS n FROM last_)
+SELECT p.doc_id, p.source, p.n_chars, p.n_bytes, p.body,
+         w[n - 3] AS a, w[n - 2] AS b, w[n - 1] AS c,
          p.body RLIKE '[.!?]["\\u00bb\\u201d\\u2019)\\]]*$' AND NOT p.body RLIKE '[.]{{3}}["\\u00bb\\u201d\\u2019)\\]]*$' AS shut,
          p.body RLIKE '(?:\\p{{L}}-|\\ufffd|(?:\\u2026|[.]{{3}}|\\[\\u2026\\])\\s*\\(?(?:leer m\\u00e1s|ver m\\u00e1s|seguir leyendo|read more|more|mehr|lire la suite|ler mais)\\)?)$' AS signed,
          NOT p.body RLIKE '[\\p{{L}}\\p{{M}}\\p{{Nd}},;]$' AS other_end
-  FROM parts p JOIN last_segment l ON p.doc_id = l.doc_id WHERE s IS NOT NULL
+  FROM spoken p
 """
 )
-#: {counts} and {tails} are the results of COUNTS and TAILS.
-VERDICTS = r"""
+#: How often the open ends occur; {counts} and {tails} are the results of COUNTS and TAILS.
+SEEN = r"""
 WITH counts AS (SELECT * FROM {counts}),
 tails AS (SELECT * FROM {tails}),
 open_ AS (SELECT * FROM tails WHERE NOT shut AND NOT signed),
 tri AS (SELECT a, b, c, inside, ends, seen FROM counts),
 bi AS (SELECT b, c, sum(inside) AS inside, sum(ends) AS ends, sum(seen) AS seen FROM counts GROUP BY b, c),
-uni AS (SELECT c, sum(inside) AS inside, sum(ends) AS ends, sum(seen) AS seen FROM counts GROUP BY c),
+uni AS (SELECT c, sum(inside) AS inside, sum(ends) AS ends, sum(seen) AS seen FROM counts GROUP BY c)
+SELECT o.doc_id, o.source, o.n_chars, o.n_bytes, o.body, o.other_end, o.a, o.b, o.c,
+       coalesce(t.inside, 0) AS in3, coalesce(t.ends, 0) AS end3, coalesce(t.seen, 0) AS seen3, coalesce(b2.inside, 0) AS in2, coalesce(b2.ends, 0) AS end2, coalesce(b2.seen, 0) AS seen2,
+       coalesce(u.inside, 0) AS in1, coalesce(u.ends, 0) AS end1, coalesce(u.seen, 0) AS seen1
+FROM open_ o
+LEFT JOIN tri t ON o.a = t.a AND o.b = t.b AND o.c = t.c
+LEFT JOIN bi b2 ON o.b = b2.b AND o.c = b2.c
+LEFT JOIN uni u ON o.c = u.c
+"""
+#: {seen} is the result of SEEN. Beginnings of words are counted only for the contexts of unknown ends.
+VERDICTS = r"""
+WITH counts AS (SELECT * FROM {counts}),
+tails AS (SELECT * FROM {tails}),
+seen AS (SELECT * FROM {seen}),
+asked AS (SELECT a, b, c FROM seen WHERE in3 = 0 GROUP BY a, b, c),
 heads3 AS (
   SELECT a, b, head, sum(seen) AS forms FROM (
-    SELECT a, b, seen, explode(transform(sequence(1, length(c) - 1), i -> substr(c, 1, i))) AS head FROM counts WHERE length(c) > 1)
+    SELECT a, b, seen, explode(transform(sequence(1, length(c) - 1), i -> substr(c, 1, i))) AS head FROM counts LEFT SEMI JOIN (SELECT DISTINCT a, b FROM asked) USING (a, b) WHERE length(c) > 1)
   GROUP BY a, b, head
 ),
-heads2 AS (SELECT b, head, sum(forms) AS forms FROM heads3 GROUP BY b, head),
-heads1 AS (SELECT head, sum(forms) AS forms FROM heads2 GROUP BY head),
+heads2 AS (
+  SELECT b, head, sum(seen) AS forms FROM (
+    SELECT b, seen, explode(transform(sequence(1, length(c) - 1), i -> substr(c, 1, i))) AS head
+    FROM (SELECT b, c, sum(seen) AS seen FROM counts LEFT SEMI JOIN (SELECT DISTINCT b FROM asked) USING (b) WHERE length(c) > 1 GROUP BY b, c))
+  GROUP BY b, head
+),
+heads1 AS (
+  SELECT head, sum(seen) AS forms FROM (
+    SELECT seen, explode(transform(sequence(1, length(c) - 1), i -> substr(c, 1, i))) AS head FROM (SELECT c, sum(seen) AS seen FROM counts WHERE length(c) > 1 GROUP BY c))
+  GROUP BY head
+),
 joined AS (
-  SELECT o.doc_id, o.source, o.n_chars, o.n_bytes, o.body, o.other_end, o.b, o.c,
-         coalesce(t.inside, 0) AS in3, coalesce(t.ends, 0) AS end3, coalesce(t.seen, 0) AS seen3, coalesce(b2.inside, 0) AS in2, coalesce(b2.ends, 0) AS end2, coalesce(b2.seen, 0) AS seen2,
-         coalesce(u.inside, 0) AS in1, coalesce(u.ends, 0) AS end1, coalesce(u.seen, 0) AS seen1,
-         coalesce(h3.forms, 0) AS f3, coalesce(h2.forms, 0) AS f2, coalesce(h1.forms, 0) AS f1
-  FROM open_ o
-  LEFT JOIN tri t ON o.a = t.a AND o.b = t.b AND o.c = t.c
-  LEFT JOIN bi b2 ON o.b = b2.b AND o.c = b2.c
-  LEFT JOIN uni u ON o.c = u.c
+  SELECT o.*, coalesce(h3.forms, 0) AS f3, coalesce(h2.forms, 0) AS f2, coalesce(h1.forms, 0) AS f1
+  FROM seen o
   LEFT JOIN heads3 h3 ON o.a = h3.a AND o.b = h3.b AND o.c = h3.head
   LEFT JOIN heads2 h2 ON o.b = h2.b AND o.c = h2.head
   LEFT JOIN heads1 h1 ON o.c = h1.head
@@ -137,9 +168,9 @@ SELECT doc_id, source, why FROM judged WHERE why IS NOT NULL
 """
 
 
-def verdicts(counted: str, tails: str) -> str:
-    """SQL of the cut texts, given the views of the counts and the tails."""
-    return VERDICTS.format(counts=counted, tails=tails, least=LEAST, ends=ENDS, least_forms=LEAST_FORMS, inner=INNER, limit_texts=LIMIT_TEXTS, limit_times=LIMIT_TIMES)
+def statement(text: str, **views: str) -> str:
+    """A statement over the given views."""
+    return text.format(listed=LISTED, word=WORD, least=LEAST, ends=ENDS, inner=INNER, least_forms=LEAST_FORMS, limit_texts=LIMIT_TEXTS, limit_times=LIMIT_TIMES, **views)
 
 
 def truncated(docs: DataFrame) -> DataFrame:
@@ -151,9 +182,11 @@ def truncated(docs: DataFrame) -> DataFrame:
     """
     spark, mark = docs.sparkSession, uuid.uuid4().hex
     docs.select("doc_id", "source", "text").createOrReplaceTempView(f"texts_{mark}")
-    for name, statement in (("counts", COUNTS), ("tails", TAILS)):
-        durable(spark.sql(statement.format(docs=f"texts_{mark}"))).createOrReplaceTempView(f"{name}_{mark}")
-    return spark.sql(verdicts(f"counts_{mark}", f"tails_{mark}"))
+    views = {"docs": f"texts_{mark}"}
+    for name, text in (("counts", COUNTS), ("tails", TAILS), ("seen", SEEN)):
+        durable(spark.sql(statement(text, **views))).createOrReplaceTempView(f"{name}_{mark}")
+        views[name] = f"{name}_{mark}"
+    return spark.sql(statement(VERDICTS, **views))
 
 
 def shares(docs: DataFrame) -> DataFrame:
