@@ -161,3 +161,11 @@ def test_jobs(spark, tmp_path):
     assert T.read_pairs_csv(spark, str(tmp_path / "q")).count() == 5
     with pytest.raises(ValueError):
         jobs.user_pairs(spark, str(tmp_path), "v")
+
+
+def test_only_small_inputs_are_spread(spark, monkeypatch):
+    from trazo import session
+
+    assert session.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "CORE_BYTES", 1)
+    assert session.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 1

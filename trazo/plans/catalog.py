@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trazo.functions import text as X
 from trazo.operators import cascade, errors, fuzzy, indexes, metrics, noise
+from trazo.session import spread
 from trazo.sources import history as H
 from trazo.sources import tables as T
 
@@ -18,7 +19,7 @@ def _lex(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
-    return T.once(_t(spark, sf, "requests"), "req_id").select("req_id", "user_id", "text")
+    return spread(T.once(_t(spark, sf, "requests"), "req_id").select("req_id", "user_id", "text"))
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,7 +31,7 @@ def _history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _spanish(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").where(F.lower(F.trim("lang")).startswith("es")).select("text")
+    return spread(_t(spark, sf, "documents").where(F.lower(F.trim("lang")).startswith("es")).select("text"))
 
 
 def _cores(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,6 +180,7 @@ def fallback_noise(spark: SparkSession, sf: str) -> DataFrame:
 def evaluate(spark: SparkSession, sf: str) -> DataFrame:
     """The shallow cascade's corrections of the accepted feedback against what the users accepted."""
     fb = T.once(_t(spark, sf, "feedback"), "feedback_id").where("accepted and original_text is not null and corrected_text is not null")
+    fb = spread(fb)
     req = fb.select(F.col("feedback_id").alias("req_id"), "user_id", F.col("original_text").alias("text"))
     got = cascade.reassemble(cascade.layers(cascade.explode(req), _lex(spark, sf), _vocabulary(spark, sf), fuzzy_layer=False))
     rows = fb.join(got, fb["feedback_id"] == got["req_id"]).select(F.col("original_text").alias("source"), F.col("corrected").alias("prediction"), F.col("corrected_text").alias("reference"))

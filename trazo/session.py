@@ -19,6 +19,17 @@ def folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
+#: Bytes of input that keep a core busy.
+CORE_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over all cores, if its input is so small that some would stay idle; a large one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * CORE_BYTES else df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The frame, computed once and read from files that every executor can reach."""
     folder(df.sparkSession)
