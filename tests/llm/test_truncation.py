@@ -38,3 +38,13 @@ def test_empty_and_long(spark):
     long = " ".join(corpus(random.Random(11), 2000))
     df = spark.createDataFrame([(1, "s", long), (2, "s", long + " La tortuga vieja compró el")], SCHEMA)
     assert [r.doc_id for r in T.truncated(df).collect()] == [2]
+
+
+def test_markers_in_brackets(spark):
+    docs = [(i, "s", t) for i, t in enumerate(corpus(random.Random(9), 400))]
+    marks = ["(sigue)", "[texto cortado]", "[...]", "[+]", "(…)"]
+    cut = {1000 + i: f"Un pastor guardó la guitarra en la {m}" for i, m in enumerate(marks)} | {1010 + i: f"Mi hermana vio una bici {m}" for i, m in enumerate(marks)} | {1020: "La tortuga vieja compró el (sigue)...", 1021: "Mi hermana compró un cuader… (leer más)"}
+    whole = {2000 + i: f"Un pastor guardó la guitarra en la cocina.\n{m}" for i, m in enumerate(marks + ["(continuará)"])} | {2010 + i: f"Un pastor guardó la guitarra en la cocina {m}" for i, m in enumerate(marks)}
+    whole |= {2020: "Un pastor guardó la guitarra en la (cocina)", 2021: "(sigue)", 2022: "[...]", 2023: "Un pastor guardó la guitarra en la [1]."}
+    got = T.truncated(spark.createDataFrame(docs + [(i, None, t) for i, t in {**cut, **whole}.items()], SCHEMA)).collect()
+    assert {r.doc_id for r in got} == set(cut)

@@ -4,7 +4,8 @@ Method: word trigrams are counted inside texts and at ends of sentences, the las
 each text is joined to the counts, and texts are flagged whose last trigram often goes on
 but almost never ends; all of it in SQL. Shorter contexts stand in for a trigram that was
 never seen, and a last word that only occurs as the beginning of longer words after the
-same context is a word cut in two. A text exactly as long as many others of its source, and
+same context is a word cut in two. A marker in brackets that the cutter left at the end is
+taken off first, so what stands before it is judged. A text exactly as long as many others of its source, and
 as its source's longest, was cut by a field limit unless it has a closing mark.
 """
 
@@ -28,18 +29,29 @@ LIMIT_TEXTS, LIMIT_TIMES = 5, 10
 
 #: SQL literals: a line of a list, and a word.
 LISTED = r"'^\\s*[-*\\u2022\\u2013]\\s|^[ \\t]{2,}'"
+#: A marker at the end: signs only, or words that say that the text goes on or was cut, in brackets of either kind; anything short in square ones.
+MARK = (
+    r"'(?iu)(?:[\\[(]\\s*(?:[.\\u2026+>\\u2192*\\s-]+"
+    r"|(?:sigue|contin\\u00faa|continua|continuar\\u00e1|cont|(?:texto )?(?:cortado|truncado|incompleto)|(?:leer |ver )?m\\u00e1s|seguir leyendo"
+    r"|(?:read )?more|(?:to be )?continued|(?:text )?(?:cut|truncated)|(?:lire la )?suite|\\u00e0 suivre|(?:texte )?(?:coup\\u00e9|tronqu\\u00e9)"
+    r"|mehr|weiterlesen|fortsetzung(?: folgt)?|(?:text )?(?:gek\\u00fcrzt|abgeschnitten)|(?:ler )?mais)[.\\u2026+>\\s]*)[\\])][.\\u2026+>\\u2192*\\s-]*"
+    r"|\\[[^\\[\\]]{1,30}\\](?:[.]{2,}|[\\u2026+>\\u2192*\\s-])*)$'"
+)
+#: What only a cutter leaves behind a word.
+SIGN = r"'(?:\\p{L}-|\\ufffd|(?:\\u2026|[.]{3}|\\[\\u2026\\])\\s*\\(?(?:leer m\\u00e1s|ver m\\u00e1s|seguir leyendo|read more|more|mehr|lire la suite|ler mais)\\)?)$'"
 WORD = r'''"[\\p{L}\\p{M}#]+(?:['\\u2019-][\\p{L}\\p{M}#]+)*"'''
 #: {docs} is a relation with doc_id, source, text. Written for Spark SQL; every aggregate
 #: combines before its shuffle and every join is on keys that no text shares with many.
 PARTS = r"""
-WITH docs AS (
-  SELECT doc_id, source, regexp_replace(text, '[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]', '') AS text
+WITH whole AS (
+  SELECT doc_id, source, regexp_replace(text, '[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]', '') AS whole
   FROM {docs} WHERE doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''
 ),
+docs AS (SELECT *, rtrim(' \n\r\t', IF(right(rtrim(' \n\r\t', whole), 60) RLIKE {mark}, regexp_replace(rtrim(' \n\r\t', whole), {mark}, ''), whole)) AS text FROM whole),
 parts AS (
-  SELECT doc_id, source, length(text) AS n_chars, octet_length(replace(text, '\ufffd', '')) AS n_bytes, right(rtrim(' \n\r\t', text), 60) AS body,
+  SELECT doc_id, source, length(whole) AS n_chars, octet_length(replace(whole, '\ufffd', '')) AS n_bytes, right(text, 60) AS body, right(rtrim(' \n\r\t', whole), 60) AS tail,
          -- a line break behind every sentence, numbers all alike
-         split(regexp_replace(regexp_replace(lower(rtrim(' \n\r\t', text)), '[0-9]+', '#'), '([.!?\\u2026]["\\u00bb\\u201d\\u2019)\\]]*)\\s+', '$1\n'), '\n+') AS segments
+         split(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#'), '([.!?\\u2026]["\\u00bb\\u201d\\u2019)\\]]*)\\s+', '$1\n'), '\n+') AS segments
   FROM docs
 )
 """
@@ -81,7 +93,7 @@ spoken AS (SELECT *, IF(listed, transform(words, x -> concat('*', x)), words) AS
 SELECT p.doc_id, p.source, p.n_chars, p.n_bytes, p.body,
          w[n - 3] AS a, w[n - 2] AS b, w[n - 1] AS c,
          p.body RLIKE '[.!?]["\\u00bb\\u201d\\u2019)\\]]*$' AND NOT p.body RLIKE '[.]{{3}}["\\u00bb\\u201d\\u2019)\\]]*$' AS shut,
-         p.body RLIKE '(?:\\p{{L}}-|\\ufffd|(?:\\u2026|[.]{{3}}|\\[\\u2026\\])\\s*\\(?(?:leer m\\u00e1s|ver m\\u00e1s|seguir leyendo|read more|more|mehr|lire la suite|ler mais)\\)?)$' AS signed,
+         p.body RLIKE {sign} OR p.tail RLIKE {sign} AS signed,
          NOT p.body RLIKE '[\\p{{L}}\\p{{M}}\\p{{Nd}},;]$' AS other_end
   FROM spoken p
 """
@@ -170,7 +182,7 @@ SELECT doc_id, source, why FROM judged WHERE why IS NOT NULL
 
 def statement(text: str, **views: str) -> str:
     """A statement over the given views."""
-    return text.format(listed=LISTED, word=WORD, least=LEAST, ends=ENDS, inner=INNER, least_forms=LEAST_FORMS, limit_texts=LIMIT_TEXTS, limit_times=LIMIT_TIMES, **views)
+    return text.format(listed=LISTED, mark=MARK, sign=SIGN, word=WORD, least=LEAST, ends=ENDS, inner=INNER, least_forms=LEAST_FORMS, limit_texts=LIMIT_TEXTS, limit_times=LIMIT_TIMES, **views)
 
 
 def truncated(docs: DataFrame) -> DataFrame:
