@@ -170,7 +170,8 @@ def sentence_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def noise_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return noise.pairs(noise.sentences(_spanish(spark, sf)))
+    """Pairs of every sentence; the service's limit is kept in sentence_pool."""
+    return noise.pairs(noise.sentences(_spanish(spark, sf), None))
 
 
 def fallback_noise(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,7 +15,7 @@ from trazo.sources import tables as T
 
 def training_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Noisy pairs of the Spanish documents; an empty set is an error."""
-    pairs = noise.pairs(noise.sentences(T.table(spark, sf, "documents").where(F.lower(F.trim("lang")).startswith("es")).select("text")))
+    pairs = noise.pairs(noise.sentences(T.table(spark, sf, "documents").where(F.lower(F.trim("lang")).startswith("es")).select("text"), None))
     if pairs.isEmpty():
         raise ValueError("no training pairs")
     return pairs
