@@ -1,8 +1,20 @@
 from trazo.plans import catalog
 
+LEX = [(i, t, 1000 - i) for i, t in enumerate("la casa tiene una biblioteca muy grande".split())]
+
 
 def test_noise_pairs_of_every_sentence(spark, tmp_path):
     texts = [(f"La casa {i} tiene una biblioteca.", "es") for i in range(15_010)] + [("¿Tiene la casa una biblioteca?", "es")]
     spark.createDataFrame(texts, "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert catalog.noise_pairs(spark, str(tmp_path)).count() == 15_011
     assert catalog.sentence_pool(spark, str(tmp_path)).count() == 15_000
+
+
+def test_evaluate_measures_the_fuzzy_layer(spark, tmp_path):
+    spark.createDataFrame(LEX, "rank int, term string, freq bigint").write.parquet(f"{tmp_path}/lexicon.parquet")
+    spark.createDataFrame([("La casa tiene una biblioteca muy grande.", "es")], "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "history_id bigint, user_id string, seq bigint, erronea string, corregida string").write.parquet(f"{tmp_path}/user_history.parquet")
+    fb = [(1, "u", "la casa tiene una bibloteca", "la casa tiene una biblioteca", True)]
+    spark.createDataFrame(fb, "feedback_id bigint, user_id string, original_text string, corrected_text string, accepted boolean").write.parquet(f"{tmp_path}/feedback.parquet")
+    assert catalog.evaluate(spark, str(tmp_path)).first()[0] == 0
+    assert catalog.evaluate_shallow(spark, str(tmp_path)).first()[0] > 0

@@ -178,16 +178,29 @@ def fallback_noise(spark: SparkSession, sf: str) -> DataFrame:
     return noise.sentences(_spanish(spark, sf), None).select("text", noise.fallback(F.col("text")).alias("noisy"))
 
 
-def evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    """The shallow cascade's corrections of the accepted feedback against what the users accepted."""
+def _accepted(spark: SparkSession, sf: str) -> DataFrame:
     fb = T.once(_t(spark, sf, "feedback"), "feedback_id").where("accepted and original_text is not null and corrected_text is not null")
-    fb = spread(fb)
-    req = fb.select(F.col("feedback_id").alias("req_id"), "user_id", F.col("original_text").alias("text"))
-    got = cascade.reassemble(cascade.layers(cascade.explode(req), _lex(spark, sf), _vocabulary(spark, sf), fuzzy_layer=False))
-    rows = fb.join(got, fb["feedback_id"] == got["req_id"]).select(F.col("original_text").alias("source"), F.col("corrected").alias("prediction"), F.col("corrected_text").alias("reference"))
+    return spread(fb).select(F.col("feedback_id").alias("req_id"), "user_id", F.col("original_text").alias("text"), "corrected_text")
+
+
+def _measured(fb: DataFrame, got: DataFrame) -> DataFrame:
+    rows = fb.join(got.select("req_id", "corrected"), "req_id").select(F.col("text").alias("source"), F.col("corrected").alias("prediction"), F.col("corrected_text").alias("reference"))
     return metrics.evaluate(rows)
 
 
+def evaluate(spark: SparkSession, sf: str) -> DataFrame:
+    """The corrections of the accepted feedback, made as in correct_text, against what the users accepted."""
+    fb = _accepted(spark, sf)
+    judge = cascade.bigram_judge(cascade.bigrams(_spanish(spark, sf)))
+    return _measured(fb, cascade.correct(fb.select("req_id", "user_id", "text"), _lex(spark, sf), _vocabulary(spark, sf), judge))
+
+
+def evaluate_shallow(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of the cascade without its fuzzy layer, the first homophone winning."""
+    fb = _accepted(spark, sf)
+    return _measured(fb, cascade.reassemble(cascade.layers(cascade.explode(fb.select("req_id", "user_id", "text")), _lex(spark, sf), _vocabulary(spark, sf), fuzzy_layer=False)))
+
+
 def request_parse(spark: SparkSession, sf: str) -> DataFrame:
     body = F.to_json(F.struct("text", "user_id"))
     rows = T.once(_t(spark, sf, "requests"), "req_id").select("req_id", T.parse_correct(body).alias("r"))
@@ -236,5 +249,5 @@ QUERIES = {f.__name__: f for f in (
     lexicon_build, lexicon_counted, tokens_split, accent_fold, phonetic_key, phonetic_index, accent_index, match_case, restore_accent, phonetic_lookup,
     visual_fold, masked_context, corpus_bigrams, homophone_judge, fuzzy_top3, correct_layers, layer_histogram, correct_shallow, correct_text,
     error_details, error_histogram, feedback_status, history_append, user_vocabulary, user_pairs, user_training_eligible, sentence_pool,
-    noise_pairs, fallback_noise, evaluate, request_parse, feedback_parse, response_json, feedback_stream,
+    noise_pairs, fallback_noise, evaluate, evaluate_shallow, request_parse, feedback_parse, response_json, feedback_stream,
 )}
