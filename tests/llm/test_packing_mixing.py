@@ -5,6 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from trazo.llm import catalog
 from trazo.llm import mixing as M
 from trazo.llm import packing as P
 from trazo.llm import tokens
@@ -83,3 +84,9 @@ def test_token_counts(spark):
     for vocabulary in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"):
         n = {r.id: r.n for r in df.select("id", tokens.n_tokens(F.col("text"), vocabulary=vocabulary).alias("n")).collect()}
         assert n[2] == n[3] == 0 and 4 <= n[1] < 15 and n[4] >= 20000
+
+
+def test_more_capacities_than_the_bound_are_refused(spark, tmp_path):
+    spark.range(1, 10_003).selectExpr("id AS capacity_tokens").write.parquet(f"{tmp_path}/containers.parquet")
+    with pytest.raises(ValueError):
+        catalog._capacities(spark, str(tmp_path))

@@ -85,7 +85,12 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _capacities(spark: SparkSession, sf: str) -> list[int]:
-    return [r[0] for r in _t(spark, sf, "containers").select("capacity_tokens").where("capacity_tokens > 0").distinct().limit(10_000).collect()]
+    """The different capacities, which are few; more than the bound are refused."""
+    most = 10_000
+    rows = _t(spark, sf, "containers").select("capacity_tokens").where("capacity_tokens > 0").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} capacities")
+    return [r[0] for r in rows]
 
 
 def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
