@@ -3,7 +3,8 @@
 Method: anchor expansion. One Aho-Corasick pass over the repaired, lower-cased text finds
 anchors: at-signs and their spellings, digits, schemes of streets, titles, given names and
 the cues that announce a name. A deterministic parser for the anchor's kind expands it to
-the left and right and validates what it found; nothing else in the text is looked at.
+the left and right and validates what it found. Identity and phone numbers, in words too, are
+found by a pattern scan of the whole text instead.
 Kinds are parsed in the order e-mail, identity number, phone, address, name; what an earlier
 kind holds is closed to later ones.
 
