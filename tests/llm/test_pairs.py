@@ -49,3 +49,10 @@ def test_tables(spark):
     rows = P.pairs(history, requests)
     assert {tuple(r) for r in P.defects(rows, LEX).collect()} == {(1, "copy"), (2, "empty"), (6, "copy"), (8, "empty")}
     assert P.defects(rows.limit(0), []).count() == 0
+
+
+def test_refusals_with_other_words():
+    known = set(LEX).__contains__
+    for a in "Lo siento, no puedo, de momento, corregir este texto", "uf, no puedo corrregir esa redacción", "disculpa, esto queda fuera ya de lo que hago":
+        assert P.defect(PROMPT, a, True, known) == "refusal"
+    assert P.defect(PROMPT, "un zorro no puede nunca dormir", True, set(LEX + ["puede"]).__contains__) is None

@@ -2,7 +2,7 @@
 
 Method: prompt and response tokens are aligned, by containment of five-word shingles and by
 the longest common subsequence, to flag copies and answers that stop early; answers that
-don't follow the prompt are aligned against refusal templates; what is left is held against
+don't follow the prompt are aligned, word by word, against refusal templates; what is left is held against
 the prompt's language.
 
 Whether a copied prompt needed a correction is asked of the whole corpus: a word is taken
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from trazo.session import durable
 
 SHINGLE, SIMILAR = 5, 0.8
+#: Templates of so many words are aligned, the others stand in one piece; share of a template's words, words put in between, letters of a misspelt word.
+ALIGNED_WORDS, ALIGNED_SHARE, BETWEEN, MISSPELT = 3, 0.8, 2, 5
 #: What the service reads as true.
 TRUE_WORDS = ("true", "1", "t", "y", "yes")
 #: Answers that only fill the field.
@@ -167,6 +170,32 @@ def refuses(answer: list[str]) -> bool:
     return any(" " + " ".join(t) + " " in text for t in REFUSALS)
 
 
+_LONG = tuple((t, frozenset(t)) for t in REFUSALS if len(t) >= ALIGNED_WORDS)
+_REFUSAL_WORDS = frozenset(w for t, _ in _LONG for w in t)
+
+
+@lru_cache(100_000)
+def _meant(word: str) -> str:
+    """The templates' word that a misspelt one is an edit away from, else the word."""
+    if len(word) < MISSPELT - 1 or word in _REFUSAL_WORDS:
+        return word
+    return min((w for w in _REFUSAL_WORDS if len(w) >= MISSPELT and _near(word, w)), default=word)
+
+
+def refuses_nearly(answer: list[str], known=None) -> bool:
+    """A refusal template is aligned with the answer: a few words stand in between, are misspelt, or one of many is missing. known: tells words that aren't misspelt."""
+    meant = [w if known and known(w) else _meant(w) for w in answer]
+    have = frozenset(meant)
+    for t, own in _LONG:
+        least = ALIGNED_SHARE * len(t)
+        if len(own & have) < least - (len(t) - len(own)):
+            continue
+        for i, w in enumerate(meant):
+            if w in own and lcs_table(t, meant[i : i + len(t) + BETWEEN])[-1] >= least:
+                return True
+    return False
+
+
 def is_copy(prompt: list[str], answer: list[str]) -> bool:
     """Every word of the prompt comes back unchanged and in order; besides it the answer has only a lead or the prompt again."""
     if not prompt or len(answer) < len(prompt) or answer != prompt and containment(prompt, answer) < SIMILAR:
@@ -235,7 +264,7 @@ def defect(prompt: str | None, answer: str | None, errors: bool | None = True, k
     pc, ac = "".join(p), "".join(a)
     common = lcs_table(ac, pc)[-1]
     near = common / len(ac)
-    if near < 0.75 and refuses(a):
+    if near < 0.75 and (refuses(a) or refuses_nearly(a, known)):
         return "refusal"
     if near < 0.8 and len(a) >= 3:
         lang_p, lead_p = language(p, prompt or "")
