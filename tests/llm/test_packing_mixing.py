@@ -86,6 +86,18 @@ def test_token_counts(spark):
         assert n[2] == n[3] == 0 and 4 <= n[1] < 15 and n[4] >= 20000
 
 
+def test_small_shares_are_kept(spark):
+    sized = spark.createDataFrame([(i, "a", 500) for i in range(4000)] + [(5000 + i, "b", 1) for i in range(900)], "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 0.9996, 1), ("m", "b", 0.0004, 1)], "mix string, source string, target_share double, max_repeats int")
+    share = {r.source: r.actual_share for r in M.shares(M.mix(sized, targets, block_tokens=100), targets).collect()}
+    assert abs(share["b"] - 0.0004) < 1e-5
+    assert M.fitting({"a": 0.65, "b": 0.35}) == 1000 and M.slots({"a": 0.9996, "b": 0.0004}, M.fitting({"a": 0.9996, "b": 0.0004}))["b"] == 1
+    with pytest.raises(ValueError):
+        M.fitting({"a": 1.0, "b": 1e-7})
+    with pytest.raises(ValueError):
+        M.mix(sized, targets, period=1000)
+
+
 def test_more_capacities_than_the_bound_are_refused(spark, tmp_path):
     spark.range(1, 10_003).selectExpr("id AS capacity_tokens").write.parquet(f"{tmp_path}/containers.parquet")
     with pytest.raises(ValueError):

@@ -4,21 +4,22 @@ Method: Pfair scheduling. A source's tokens are cut into blocks; block j of a so
 weight w is released at slot floor(j / w) and due at slot ceil((j + 1) / w); earliest deadline
 first fills the slots, and no source is ever a whole block ahead of or behind its share.
 Weights are whole numbers of slots in a period, so the schedule repeats after a period: the
-driver schedules one period, whose length is a parameter, whatever the size of the data.
+driver schedules one period, whose length is chosen from the weights, whatever the size of the data.
 """
 
 from __future__ import annotations
 
 import heapq
 from fractions import Fraction
+from math import ceil, lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trazo.session import durable
 
-#: Slots of a period, which is the resolution of the weights.
-PERIOD = 1000
+#: Slots of a period at least and at most; shares that need more are refused.
+PERIOD, MOST_PERIOD = 1000, 100_000
 #: Tokens of a block.
 BLOCK_TOKENS = 2048
 #: Rows that one window orders for a running sum.
@@ -38,6 +39,21 @@ def slots(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return {k: v for k, v in out.items() if v}
 
 
+def fitting(weights: dict[str, float]) -> int:
+    """A period that holds every positive weight exactly; if that is above the bound, one in which every one has ten slots, or at least one."""
+    live = [Fraction(w).limit_denominator(10**9) for w in weights.values() if w and w > 0]
+    total = sum(live)
+    if 0 in live:
+        raise ValueError("a share is too small")
+    exact = lcm(*[(w / total).denominator for w in live])
+    if exact <= MOST_PERIOD:
+        return exact * -(-PERIOD // exact)
+    least = ceil(total / min(live))
+    if least > MOST_PERIOD:
+        raise ValueError(f"a share is below 1/{MOST_PERIOD}")
+    return min(MOST_PERIOD, max(PERIOD, 10 * least))
+
+
 def schedule(weights: dict[str, int]) -> list[str]:
     """The source of each slot of one period, by earliest deadline first among released blocks."""
     period = sum(weights.values())
@@ -58,7 +74,7 @@ def schedule(weights: dict[str, int]) -> list[str]:
     return out
 
 
-def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, period: int = PERIOD) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, period: int | None = None) -> DataFrame:
     """(mix, source, doc_id, pass, slot, tokens): every use of a document in every mix, in the order of slot.
 
     sized: (doc_id, source, tokens); a null source is in no mix, documents without tokens
@@ -81,15 +97,19 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS,
         live = {r.source: r for r in want if r.mix == name and r.source in have and (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0}
         if not live:
             continue
-        share = slots({s: r.target_share for s, r in live.items()}, period)
-        size = min(live[s].max_repeats * have[s][0] * period // k for s, k in share.items())
+        weights = {s: r.target_share for s, r in live.items()}
+        n_slots = period or fitting(weights)
+        share = slots(weights, n_slots)
+        if len(share) < len(live):
+            raise ValueError(f"{name}: a share gets none of {n_slots} slots")
+        size = min(live[s].max_repeats * have[s][0] * n_slots // k for s, k in share.items())
         for s, k in share.items():
-            plan.append((name, s, int(size * k // period), have[s][0], live[s].max_repeats, k))
+            plan.append((name, s, int(size * k // n_slots), have[s][0], live[s].max_repeats, k, n_slots))
         seen = dict.fromkeys(share, 0)
         for t, s in enumerate(schedule(share)):
             places.append((name, s, seen[s], t))
             seen[s] += 1
-    plan_df = spark.createDataFrame(plan, "mix string, source string, need long, have long, max_repeats int, k int")
+    plan_df = spark.createDataFrame(plan, "mix string, source string, need long, have long, max_repeats int, k int, period int")
     places_df = spark.createDataFrame(places, "mix string, source string, nth int, place int")
     # running sums by source: a bounded number of rows in each bucket, then the buckets' offsets
     n_buckets = {s: max(1, -(-n // BUCKET_ROWS)) for s, (_, n) in have.items()}
@@ -107,7 +127,7 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS,
     uses = uses.withColumn("block", F.floor(F.col("at") / F.lit(block_tokens)))
     uses = uses.withColumn("nth", (F.col("block") % F.col("k")).cast("int"))
     placed = uses.join(F.broadcast(places_df), ["mix", "source", "nth"])
-    slot = F.floor(F.col("block") / F.col("k")) * F.lit(period) + F.col("place")
+    slot = F.floor(F.col("block") / F.col("k")) * F.col("period") + F.col("place")
     return placed.select("mix", "source", "doc_id", "pass", slot.cast("long").alias("slot"), "tokens")
 
 
