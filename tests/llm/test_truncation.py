@@ -48,3 +48,18 @@ def test_markers_in_brackets(spark):
     whole |= {2020: "Un pastor guardó la guitarra en la (cocina)", 2021: "(sigue)", 2022: "[...]", 2023: "Un pastor guardó la guitarra en la [1]."}
     got = T.truncated(spark.createDataFrame(docs + [(i, None, t) for i, t in {**cut, **whole}.items()], SCHEMA)).collect()
     assert {r.doc_id for r in got} == set(cut)
+
+
+def test_commas_capitals_and_beginnings(spark):
+    base = corpus(random.Random(12), 300) + [t.replace(" en la cocina", " en la cocina, como siempre") for t in corpus(random.Random(13), 300)] + [f"El lunes, {t[0].lower()}{t[1:]}" for t in corpus(random.Random(14), 100)]
+    cut = {1000: "Un pastor vio la guitarra en la cocina,", 1001: "MI HERMANA COMPRÓ EL PARAGUAS A LA", 1002: "El lunes,", 1003: "Mi hermana vio el para�", 1004: "Un pastor compró una​ bici­cle"}
+    whole = {2000: "UN PASTOR VIO LA GUITARRA JUNTO AL RÍO", 2001: "Un pastor vio la guitarra en la cocina", 2002: "x" * 5000, 2003: "12,5"}
+    docs = [(i, "s", t) for i, t in enumerate(base)] + [(i, "s", t) for i, t in {**cut, **whole}.items()]
+    got = {r.doc_id: r.why for r in T.truncated(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert set(got) == set(cut) and set(got.values()) <= {"trigram", "bigram", "unigram"}
+    assert T.truncated(spark.createDataFrame([(1, None, None), (None, None, None), (2, None, " \n")], SCHEMA)).count() == 0
+
+
+def test_a_line_many_texts_close_with_is_whole(spark):
+    docs = [(i, "s", t + "\nFirmado, la clase de Rolla") for i, t in enumerate(corpus(random.Random(15), 60))] + [(100 + i, "s", t) for i, t in enumerate(corpus(random.Random(16), 300))]
+    assert T.truncated(spark.createDataFrame(docs, SCHEMA)).count() == 0

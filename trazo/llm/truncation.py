@@ -2,11 +2,14 @@
 
 Method: word trigrams are counted inside texts and at ends of sentences, the last trigram of
 each text is joined to the counts, and texts are flagged whose last trigram often goes on
-but almost never ends; all of it in SQL. Shorter contexts stand in for a trigram that was
-never seen, and a last word that only occurs as the beginning of longer words after the
-same context is a word cut in two. A marker in brackets that the cutter left at the end is
-taken off first, so what stands before it is judged. A text exactly as long as many others of its source, and
-as its source's longest, was cut by a field limit unless it has a closing mark.
+but almost never ends; all of it in SQL. A comma is a word of its own here, so a text that
+stops behind one is told in the same way. A trigram that is rare borrows from its last two
+words and from its last word (interpolated backoff), and a last word that its context only
+knows as the beginning of longer words is a word cut in two: its trigram is held against the
+trigrams that begin like it. Markers and dots that the cutter left at the end are taken off
+first, so what stands before them is judged. Two kinds of evidence come after the trigrams,
+for the texts on which they are silent: a sign that only a cutter leaves, and a length at
+which many texts of a source end without a mark.
 """
 
 from __future__ import annotations
@@ -18,136 +21,147 @@ from pyspark.sql import functions as F
 
 from trazo.session import durable
 
-#: A context counts if seen so often; a share of ends up to ENDS is almost never.
-LEAST, ENDS = 4, 0.04
-#: Least share of a context's occurrences that go on; a closing line at which many texts end has less.
-INNER = 0.7
-#: A word is cut in two if its longer forms follow the same context so often.
-LEAST_FORMS = 2
+#: A last trigram almost never ends if the estimated share of its ends is below ENDS.
+ENDS = 0.003
+#: Occurrences that the shorter context weighs in the estimate, and the share of ends of a word never seen.
+WEIGHT, UNKNOWN = 4, 0.1
+#: Occurrences that make a context's evidence its own; as many open ends make a closing line.
+LEAST = 4
+#: A word is cut in two if its longer forms follow the context so often, and so many times as often as the word itself.
+LEAST_FORMS, FORMS_TIMES = 2, 50
+#: Share of the longer forms up to which the word itself may occur anywhere; beyond it the context has to be so many times clearer.
+ALSO_WORD, CLEAR_TIMES = 0.02, 1000
+#: The same where only the word speaks, without its context.
+LEAST_ALONE, ALSO_ALONE = 20, 0.01
 #: A length is a field limit if so many texts of a source have it, and so many times as many as its neighbours on average.
 LIMIT_TEXTS, LIMIT_TIMES = 5, 10
+#: No word has more bytes; longer tokens are all one.
+WORD_BYTES = 100
+#: Characters of a last line that are looked at first; the whole line is if they hold too few words.
+NEAR = 400
 
-#: SQL literals: a line of a list, and a word.
+#: SQL literals. Characters nobody sees, a line of a list, a token: word, number, comma, or the mark that ends a sentence.
+UNSEEN = ("\\u00ad", "\\u200b", "\\u200c", "\\u200d", "\\u200e", "\\u200f", "\\u2060", "\\ufeff")
 LISTED = r"'^\\s*[-*\\u2022\\u2013]\\s|^[ \\t]{2,}'"
-#: A marker at the end: signs only, or words that say that the text goes on or was cut, in brackets of either kind; anything short in square ones.
+TOKEN = r"""'[\\p{L}\\p{M}]+(?:[\\u0027\\u2019-][\\p{L}\\p{M}]+)*|[0-9]+(?:[.,:][0-9]+)*|[,;:]|[.!?\\u2026]+["\\u00bb\\u201d\\u2019)\\]]*(?:\\s|$)'"""
+#: What a cutter leaves: dots, or words that say that the text goes on or was cut, in brackets of either kind; anything short in square ones.
 MARK = (
-    r"'(?iu)(?:[\\[(]\\s*(?:[.\\u2026+>\\u2192*\\s-]+"
+    r"'(?iu)(?:\\s*(?:[\\u2026\\u2192>+*]|[.]{3,}|\\[[^\\[\\]]{1,30}\\]|[\\[(]\\s*(?:[.\\u2026+>\\u2192*\\s-]+"
     r"|(?:sigue|contin\\u00faa|continua|continuar\\u00e1|cont|(?:texto )?(?:cortado|truncado|incompleto)|(?:leer |ver )?m\\u00e1s|seguir leyendo"
     r"|(?:read )?more|(?:to be )?continued|(?:text )?(?:cut|truncated)|(?:lire la )?suite|\\u00e0 suivre|(?:texte )?(?:coup\\u00e9|tronqu\\u00e9)"
-    r"|mehr|weiterlesen|fortsetzung(?: folgt)?|(?:text )?(?:gek\\u00fcrzt|abgeschnitten)|(?:ler )?mais)[.\\u2026+>\\s]*)[\\])][.\\u2026+>\\u2192*\\s-]*"
-    r"|\\[[^\\[\\]]{1,30}\\](?:[.]{2,}|[\\u2026+>\\u2192*\\s-])*)$'"
+    r"|mehr|weiterlesen|fortsetzung(?: folgt)?|(?:text )?(?:gek\\u00fcrzt|abgeschnitten)|(?:ler )?mais)[.\\u2026+>\\s]*)[\\])]"
+    r"|(?<=\\u2026|[.]{3})\\s*\\(?(?:leer m\\u00e1s|ver m\\u00e1s|seguir leyendo|read more|more|mehr|lire la suite|ler mais)\\)?))+\\s*$|(?<=\\p{L})-$|\\ufffd+$'"
 )
 #: What only a cutter leaves behind a word.
 SIGN = r"'(?:\\p{L}-|\\ufffd|(?:\\u2026|[.]{3}|\\[\\u2026\\])\\s*\\(?(?:leer m\\u00e1s|ver m\\u00e1s|seguir leyendo|read more|more|mehr|lire la suite|ler mais)\\)?)$'"
-WORD = r'''"[\\p{L}\\p{M}#]+(?:['\\u2019-][\\p{L}\\p{M}#]+)*"'''
-#: {docs} is a relation with doc_id, source, text. Written for Spark SQL; every aggregate
-#: combines before its shuffle and every join is on keys that no text shares with many.
-PARTS = r"""
-WITH whole AS (
-  SELECT doc_id, source, regexp_replace(text, '[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]', '') AS whole
-  FROM {docs} WHERE doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''
+
+
+def _letters(x: str) -> str:
+    """Most words are told from marks and numbers by one comparison."""
+    return f"{x} >= 'A' AND {x} < '\\u2026'"
+
+
+def _stop(x: str) -> str:
+    return f"(NOT ({_letters(x)}) AND left({x}, 1) IN ('.', '!', '?', '\\u2026'))"
+
+
+def _word(x: str) -> str:
+    """A token as it is counted: numbers are all alike, a mark is the border of its sentence."""
+    return (
+        f"CASE WHEN octet_length({x}) > {WORD_BYTES} THEN '?' WHEN {_letters(x)} THEN {x} WHEN left({x}, 1) IN ('.', '!', '?', '\\u2026') THEN '^'"
+        f" WHEN {x} >= '0' AND {x} < ':' THEN '#' ELSE {x} END"
+    )
+
+
+def _once(expression: str, name: str) -> str:
+    """A column computed once a row: the optimizer copies an expression into every place that names it, but not out of a generator."""
+    return f"LATERAL VIEW OUTER explode(array({expression})) {name}_ AS {name}"
+
+
+#: {docs} is a relation with doc_id, source, text. Written for Spark SQL; every aggregate combines before its shuffle.
+PARTS = rf"""
+WITH seen_ AS (
+  SELECT doc_id, source, IF({" OR ".join(f"contains(text, '{c}')" for c in UNSEEN)}, regexp_replace(text, '[{"".join(UNSEEN)}]', ''), text) AS whole
+  FROM {{docs}} WHERE doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''
 ),
-docs AS (SELECT *, rtrim(' \n\r\t', IF(right(rtrim(' \n\r\t', whole), 60) RLIKE {mark}, regexp_replace(rtrim(' \n\r\t', whole), {mark}, ''), whole)) AS text FROM whole),
-parts AS (
-  SELECT doc_id, source, length(whole) AS n_chars, octet_length(replace(whole, '\ufffd', '')) AS n_bytes, right(text, 60) AS body, right(rtrim(' \n\r\t', whole), 60) AS tail,
-         -- a line break behind every sentence, numbers all alike
-         split(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#'), '([.!?\\u2026]["\\u00bb\\u201d\\u2019)\\]]*)\\s+', '$1\n'), '\n+') AS segments
-  FROM docs
+full_ AS (SELECT doc_id, source, whole, full FROM seen_ {_once("rtrim(' \\n\\r\\t', whole)", "full")}),
+-- a mark the cutter left is cut off the last 60 characters
+docs AS (
+  SELECT doc_id, source, whole, full, IF(text RLIKE '\\p{{{{L}}}}' AND NOT text RLIKE '\\p{{{{Ll}}}}', lower(text), text) AS text
+  FROM full_ {_once("IF(right(full, 60) RLIKE {mark}, concat(left(full, length(full) - length(right(full, 60))), regexp_replace(right(full, 60), {mark}, '')), full)", "text")}
 )
 """
-SPOKEN = (
-    PARTS
-    + r""",
-segments AS (
-  SELECT doc_id, p.pos AS at, p.pos < size(segments) - 1 OR p.col RLIKE '[.!?\\u2026]["\\u00bb\\u201d\\u2019)\\]\\s]*$' AS closed,
-         p.col RLIKE {listed} AS listed,  -- a line of a list has counts of its own
-         concat(array('^', '^'), regexp_extract_all(p.col, {word}, 0)) AS words
-  FROM parts LATERAL VIEW OUTER posexplode(segments) p
+COUNTS = rf"""{PARTS},
+lines AS (
+  SELECT p.pos = n - 1 AS last_, p.col AS line FROM (SELECT l, size(l) AS n FROM docs {_once("split(text, '\\n')", "l")}) LATERAL VIEW OUTER posexplode(l) p
 ),
-spoken AS (SELECT doc_id, at, closed, IF(listed, transform(words, x -> concat('*', x)), words) AS w, size(words) AS n FROM segments)
-"""
-)
-COUNTS = (
-    SPOKEN
-    + r""",
+tokens AS (SELECT last_, line RLIKE {{listed}} AS listed, regexp_extract_all(line, {{token}}, 0) AS w FROM lines),
 grams AS (
-  SELECT g.a, g.b, g.c, g.inner_, g.ended FROM (
-    SELECT explode_outer(IF(n > 2, transform(slice(w, 3, n - 2), (x, i) -> struct(w[i] AS a, w[i + 1] AS b, x AS c,
-             IF(i < n - 3, 1, 0) AS inner_, IF(i = n - 3 AND closed, 1, 0) AS ended)), NULL)) AS g FROM spoken)
-  WHERE g IS NOT NULL
+  SELECT last_, listed, g.`0` AS a, g.`1` AS b, g.`2` AS c, g.`3` AS d
+  FROM tokens LATERAL VIEW OUTER inline(arrays_zip(concat(array('^', '^'), w), concat(array('^'), w), w, slice(w, 2, size(w)))) g AS `0`, `1`, `2`, `3`
+),
+-- how: 1 ends a sentence or a line, 2 goes on, 0 is the open end of a text; a line of a list has counts of its own
+spoken AS (
+  SELECT listed, IF({_stop("b")}, '^', {_word("a")}) AS a, {_word("b")} AS b, {_word("c")} AS c,
+         CASE WHEN d IS NULL THEN IF(last_, 0, 1) WHEN {_stop("d")} THEN 1 ELSE 2 END AS how
+  FROM grams WHERE c IS NOT NULL AND NOT {_stop("c")}
 )
-SELECT a, b, c, sum(inner_) AS inside, sum(ended) AS ends, count(*) AS seen FROM grams GROUP BY a, b, c
+SELECT listed, a, b, c, count(*) AS seen, count_if(how = 1) AS ends, count_if(how = 2) AS inside FROM spoken GROUP BY listed, a, b, c
 """
-)
-#: The last trigram of every text, and the signs at its end; no shuffle.
-TAILS = (
-    PARTS
-    + r""",
-ends_ AS (
-  SELECT *, try_element_at(filter(segments, x -> x RLIKE '[\\p{{L}}#]'), -1) AS segment FROM parts
+#: The last trigram of every text with an open end; no shuffle.
+TAILS = rf"""{PARTS},
+near AS (
+  SELECT doc_id, source, length(whole) AS n_chars, octet_length(replace(whole, '�', '')) AS n_bytes, right(text, 60) AS body, right(full, 60) AS tail, line
+  FROM docs {_once("substring_index(text, '\\n', -1)", "line")}
 ),
+some_ AS (SELECT *, length(line) > {NEAR} AS long_ FROM near {_once(f"regexp_extract_all(right(line, {NEAR}), {{token}}, 0)", "some")}),
+tokens AS (SELECT * FROM some_ {_once("IF(long_ AND size(some) < 5, regexp_extract_all(line, {token}, 0), some)", "w")}),
 last_ AS (
-  SELECT *, segment RLIKE {listed} AS listed, concat(array('^', '^'), regexp_extract_all(segment, {word}, 0)) AS words FROM ends_ WHERE segment IS NOT NULL
-),
-spoken AS (SELECT *, IF(listed, transform(words, x -> concat('*', x)), words) AS w, size(words) AS n FROM last_)
-SELECT p.doc_id, p.source, p.n_chars, p.n_bytes, p.body,
-         w[n - 3] AS a, w[n - 2] AS b, w[n - 1] AS c,
-         p.body RLIKE '[.!?]["\\u00bb\\u201d\\u2019)\\]]*$' AND NOT p.body RLIKE '[.]{{3}}["\\u00bb\\u201d\\u2019)\\]]*$' AS shut,
-         p.body RLIKE {sign} OR p.tail RLIKE {sign} AS signed,
-         NOT p.body RLIKE '[\\p{{L}}\\p{{M}}\\p{{Nd}},;]$' AS other_end
-  FROM spoken p
-"""
+  SELECT *, coalesce(try_element_at(w, -3), '^') AS x, coalesce(try_element_at(w, -2), '^') AS y, try_element_at(w, -1) AS z FROM tokens WHERE size(w) > 0
 )
-#: How often the open ends occur; {counts} and {tails} are the results of COUNTS and TAILS.
-SEEN = r"""
-WITH counts AS (SELECT * FROM {counts}),
-tails AS (SELECT * FROM {tails}),
-open_ AS (SELECT * FROM tails WHERE NOT shut AND NOT signed),
-tri AS (SELECT a, b, c, inside, ends, seen FROM counts),
-bi AS (SELECT b, c, sum(inside) AS inside, sum(ends) AS ends, sum(seen) AS seen FROM counts GROUP BY b, c),
-uni AS (SELECT c, sum(inside) AS inside, sum(ends) AS ends, sum(seen) AS seen FROM counts GROUP BY c)
-SELECT o.doc_id, o.source, o.n_chars, o.n_bytes, o.body, o.other_end, o.a, o.b, o.c,
-       coalesce(t.inside, 0) AS in3, coalesce(t.ends, 0) AS end3, coalesce(t.seen, 0) AS seen3, coalesce(b2.inside, 0) AS in2, coalesce(b2.ends, 0) AS end2, coalesce(b2.seen, 0) AS seen2,
-       coalesce(u.inside, 0) AS in1, coalesce(u.ends, 0) AS end1, coalesce(u.seen, 0) AS seen1
-FROM open_ o
-LEFT JOIN tri t ON o.a = t.a AND o.b = t.b AND o.c = t.c
-LEFT JOIN bi b2 ON o.b = b2.b AND o.c = b2.c
-LEFT JOIN uni u ON o.c = u.c
+SELECT doc_id, source, n_chars, n_bytes, body, line RLIKE {{listed}} AS listed, IF({_stop("y")}, '^', {_word("x")}) AS a, {_word("y")} AS b, {_word("z")} AS c,
+       tail RLIKE {{sign}} OR body RLIKE {{sign}} AS signed
+FROM last_ WHERE NOT {_stop("z")}
 """
-#: {seen} is the result of SEEN. Beginnings of words are counted only for the contexts of unknown ends.
+#: {counts} and {tails} are the results of COUNTS and TAILS. Each level gives, for the contexts that open ends have, how often
+#: the end itself occurs there and how often longer words that begin like it do (forms); only as long as those ends are.
 VERDICTS = r"""
 WITH counts AS (SELECT * FROM {counts}),
 tails AS (SELECT * FROM {tails}),
-seen AS (SELECT * FROM {seen}),
-asked AS (SELECT a, b, c FROM seen WHERE in3 = 0 GROUP BY a, b, c),
-heads3 AS (
-  SELECT a, b, head, sum(seen) AS forms FROM (
-    SELECT a, b, seen, explode(transform(sequence(1, length(c) - 1), i -> substr(c, 1, i))) AS head FROM counts LEFT SEMI JOIN (SELECT DISTINCT a, b FROM asked) USING (a, b) WHERE length(c) > 1)
-  GROUP BY a, b, head
+bi AS (SELECT listed, b, c, sum(inside) AS inside, sum(ends) AS ends, sum(seen) AS seen FROM counts GROUP BY listed, b, c),
+uni AS (SELECT listed, c, sum(inside) AS inside, sum(ends) AS ends, sum(seen) AS seen FROM bi GROUP BY listed, c),
+asked3 AS (SELECT listed, a, b, collect_set(length(c)) AS lens FROM tails GROUP BY listed, a, b),
+asked2 AS (SELECT listed, b, collect_set(length(c)) AS lens FROM tails GROUP BY listed, b),
+level3 AS (
+  SELECT listed, a, b, left(c, k) AS c, sum(IF(k = length(c), inside, 0)) AS inside, sum(IF(k = length(c), ends, 0)) AS ends, sum(IF(k = length(c), seen, 0)) AS seen, sum(IF(k < length(c), seen, 0)) AS forms
+  FROM (SELECT listed, a, b, c, inside, ends, seen, explode(lens) AS k FROM counts JOIN asked3 USING (listed, a, b)) WHERE k <= length(c) GROUP BY listed, a, b, left(c, k)
 ),
-heads2 AS (
-  SELECT b, head, sum(seen) AS forms FROM (
-    SELECT b, seen, explode(transform(sequence(1, length(c) - 1), i -> substr(c, 1, i))) AS head
-    FROM (SELECT b, c, sum(seen) AS seen FROM counts LEFT SEMI JOIN (SELECT DISTINCT b FROM asked) USING (b) WHERE length(c) > 1 GROUP BY b, c))
-  GROUP BY b, head
+level2 AS (
+  SELECT listed, b, left(c, k) AS c, sum(IF(k = length(c), inside, 0)) AS inside, sum(IF(k = length(c), ends, 0)) AS ends, sum(IF(k = length(c), seen, 0)) AS seen, sum(IF(k < length(c), seen, 0)) AS forms
+  FROM (SELECT listed, b, c, inside, ends, seen, explode(lens) AS k FROM bi JOIN asked2 USING (listed, b)) WHERE k <= length(c) GROUP BY listed, b, left(c, k)
 ),
-heads1 AS (
-  SELECT head, sum(seen) AS forms FROM (
-    SELECT seen, explode(transform(sequence(1, length(c) - 1), i -> substr(c, 1, i))) AS head FROM (SELECT c, sum(seen) AS seen FROM counts WHERE length(c) > 1 GROUP BY c))
-  GROUP BY head
+level1 AS (
+  SELECT listed, left(c, k) AS c, sum(IF(k = length(c), inside, 0)) AS inside, sum(IF(k = length(c), ends, 0)) AS ends, sum(IF(k = length(c), seen, 0)) AS seen, sum(IF(k < length(c), seen, 0)) AS forms
+  FROM (SELECT listed, c, inside, ends, seen, explode(sequence(1, length(c))) AS k FROM uni) GROUP BY listed, left(c, k)
 ),
 joined AS (
-  SELECT o.*, coalesce(h3.forms, 0) AS f3, coalesce(h2.forms, 0) AS f2, coalesce(h1.forms, 0) AS f1
-  FROM seen o
-  LEFT JOIN heads3 h3 ON o.a = h3.a AND o.b = h3.b AND o.c = h3.head
-  LEFT JOIN heads2 h2 ON o.b = h2.b AND o.c = h2.head
-  LEFT JOIN heads1 h1 ON o.c = h1.head
+  SELECT o.doc_id, o.source, o.n_chars, o.n_bytes, o.body, o.signed,
+         coalesce(t.inside + t.ends, 0) AS w3, coalesce(t.ends, 0) AS end3, coalesce(t.seen, 0) AS seen3, coalesce(t.forms, 0) AS f3,
+         coalesce(d.inside + d.ends, 0) AS w2, coalesce(d.ends, 0) AS end2, coalesce(d.seen, 0) AS seen2, coalesce(d.forms, 0) AS f2,
+         coalesce(u.inside + u.ends, 0) AS w1, coalesce(u.ends, 0) AS end1, coalesce(u.seen, 0) AS seen1, coalesce(u.forms, 0) AS f1
+  FROM tails o
+  LEFT JOIN level3 t ON o.listed = t.listed AND o.a = t.a AND o.b = t.b AND o.c = t.c
+  LEFT JOIN level2 d ON o.listed = d.listed AND o.b = d.b AND o.c = d.c
+  LEFT JOIN level1 u ON o.listed = u.listed AND o.c = u.c
 ),
+-- the share of ends, each context filled up from the shorter one
+backed1 AS (SELECT *, (end1 + {weight} * {unknown}) / (w1 + {weight}) AS p1 FROM joined),
+backed2 AS (SELECT *, (end2 + {weight} * p1) / (w2 + {weight}) AS p2 FROM backed1),
+backed AS (SELECT *, (end3 + {weight} * p2) / (w3 + {weight}) AS p3 FROM backed2),
 lengths AS (
   -- copies of one text count once
-  SELECT source, unit, n_chars AS size, count(DISTINCT body) AS n FROM (
-    SELECT source, 'char' AS unit, n_chars, body FROM tails WHERE NOT shut UNION ALL SELECT source, 'byte', n_bytes, body FROM tails WHERE NOT shut)
-  GROUP BY source, unit, n_chars
+  SELECT source, unit, size, count(DISTINCT body) AS n FROM (SELECT source, body, stack(2, 'char', n_chars, 'byte', n_bytes) AS (unit, size) FROM tails)
+  GROUP BY source, unit, size
 ),
 around AS (
   SELECT source, unit, size, n,
@@ -158,47 +172,51 @@ limits AS (SELECT source, unit, size FROM around WHERE n >= {limit_texts} AND n
 judged AS (
   SELECT j.doc_id, j.source,
     CASE
-      -- a line of its own that other texts end with and no word goes on from
-      WHEN seen3 >= {least} AND in3 = 0 AND f3 <= seen3 AND b IN ('^', '*^') THEN NULL
+      -- what many texts close with, and hardly any goes on from
+      WHEN seen3 - w3 >= {least} AND seen3 - w3 > w3 AND f3 <= seen3 - w3 THEN IF(signed, 'sign', NULL)
+      -- neither letter, digit nor comma stands at the end
+      WHEN NOT body RLIKE '[\\p{{L}}\\p{{M}}\\p{{Nd}},;:]$' THEN IF(signed, 'sign', NULL)
+      WHEN p3 < {ends} AND w3 >= {least} THEN 'trigram'
+      WHEN f3 >= {least_forms} AND f3 >= {forms_times} * w3 AND (w1 <= {also_word} * f1 OR f3 >= {clear_times} * (w3 + 1)) THEN 'trigram'
+      WHEN p3 < {ends} AND w2 >= {least} THEN 'bigram'
+      WHEN f3 = 0 AND f2 >= {least_forms} AND f2 >= {forms_times} * w2 AND f2 >= 10 * seen2 AND w1 <= {also_word} * f1 THEN 'bigram'
+      WHEN p3 < {ends} THEN 'unigram'
+      WHEN w2 = 0 AND f1 >= {least_alone} AND seen1 <= {also_alone} * f1 THEN 'unigram'
+      WHEN signed THEN 'sign'
       WHEN l.size IS NOT NULL OR m.size IS NOT NULL THEN 'limit'
-      WHEN in3 + end3 >= {least} AND in3 >= {inner} * seen3 AND end3 <= {ends} * (in3 + end3)
-           AND (end2 <= {ends} * (in2 + end2) OR end2 * (in3 + end3) >= 5 * (in2 + end2) AND end3 <= 0.1 * end2 * (in3 + end3) / (in2 + end2)) THEN 'trigram'
-      WHEN in3 + end3 = 0 AND f3 >= {least_forms} AND seen1 <= 0.02 * f1 THEN 'word'
-      WHEN seen3 < {least} AND in2 >= {inner} * seen2 AND in2 + end2 >= 6 * {least} AND end2 <= {ends} * (in2 + end2) THEN 'bigram'
-      WHEN in2 + end2 = 0 AND f2 >= {least_forms} AND seen1 <= 0.02 * f1 THEN 'word'
-      WHEN seen2 < {least} AND in1 >= {inner} * seen1 AND in1 + end1 >= 10 * {least} AND end1 <= 0.5 * {ends} * (in1 + end1) THEN 'unigram'
-      WHEN in2 + end2 = 0 AND f1 >= 10 * {least_forms} AND seen1 <= 0.01 * f1 THEN 'word'
     END AS why
-  FROM joined j
+  FROM backed j
   LEFT JOIN limits l ON j.source <=> l.source AND j.n_chars = l.size AND l.unit = 'char'
   LEFT JOIN limits m ON j.source <=> m.source AND j.n_bytes = m.size AND m.unit = 'byte'
-  WHERE NOT other_end OR body RLIKE '(?:[.]{{3}}|\\u2026)$'
 )
-SELECT doc_id, source, 'sign' AS why FROM tails WHERE signed AND NOT shut
-UNION ALL
 SELECT doc_id, source, why FROM judged WHERE why IS NOT NULL
 """
 
 
 def statement(text: str, **views: str) -> str:
     """A statement over the given views."""
-    return text.format(listed=LISTED, mark=MARK, sign=SIGN, word=WORD, least=LEAST, ends=ENDS, inner=INNER, least_forms=LEAST_FORMS, limit_texts=LIMIT_TEXTS, limit_times=LIMIT_TIMES, **views)
+    named = {"listed": LISTED, "token": TOKEN, "mark": MARK, "sign": SIGN, "ends": ENDS, "weight": WEIGHT, "unknown": UNKNOWN, "least": LEAST, "least_forms": LEAST_FORMS, "forms_times": FORMS_TIMES}
+    named |= {"also_word": ALSO_WORD, "clear_times": CLEAR_TIMES, "least_alone": LEAST_ALONE, "also_alone": ALSO_ALONE, "limit_texts": LIMIT_TEXTS, "limit_times": LIMIT_TIMES}
+    return text.format(**named, **views)
 
 
 def truncated(docs: DataFrame) -> DataFrame:
     """(doc_id, source, why) of the texts that were cut before their end.
 
-    why names the evidence: a sign the cutter left, a field limit, or what never ends a
-    sentence. Null and empty texts and null ids are left out; a text without words is never
-    cut. doc_id is taken as unique; extra columns are ignored.
+    why names the evidence: the last trigram, its last two words, its last word, a sign the
+    cutter left, or a field limit. Null and empty texts and null ids are left out; a text
+    without words is never cut. doc_id is taken as unique; extra columns are ignored.
     """
     spark, mark = docs.sparkSession, uuid.uuid4().hex
     docs.select("doc_id", "source", "text").createOrReplaceTempView(f"texts_{mark}")
     views = {"docs": f"texts_{mark}"}
-    for name, text in (("counts", COUNTS), ("tails", TAILS), ("seen", SEEN)):
+    for name, text in (("counts", COUNTS), ("tails", TAILS)):
         durable(spark.sql(statement(text, **views))).createOrReplaceTempView(f"{name}_{mark}")
         views[name] = f"{name}_{mark}"
-    return spark.sql(statement(VERDICTS, **views))
+    out = spark.sql(statement(VERDICTS, **views))
+    for view in views.values():  # the plan is resolved; the names are no longer needed
+        spark.catalog.dropTempView(view)
+    return out
 
 
 def shares(docs: DataFrame) -> DataFrame:
