@@ -58,3 +58,27 @@ def test_given_names_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(P, "MOST_GIVEN_NAMES", 1)
     with pytest.raises(ValueError):
         P.given_list(df)
+
+
+def test_accounts_and_control_numbers(finder):
+    spans = lambda t: [(k, t[a:b]) for k, a, b in finder.spans(t)]
+    assert spans("IBAN ES91 2100 0418 4502 0005 1332 y tarjeta 4111 1111 1111 1111.") == [("account", "ES91 2100 0418 4502 0005 1332"), ("account", "4111 1111 1111 1111")]
+    assert spans("ES92 2100 0418 4502 0005 1332 y 4111 1111 1111 1112") == []  # wrong check digits
+    assert spans("000000000000 y 281234567840, afiliación 281234567800") == [("id_number", "281234567840"), ("id_number", "281234567800")]
+    assert finder.redact("Paga a ES9121000418450200051332 ya") == "Paga a [ACCOUNT] ya"
+
+
+def test_time_grows_with_the_length_only(finder):
+    import time
+
+    one = "Escribe a ana.lopez@example.org o llama al 612 345 678, DNI 12345678Z, vive en calle Mayor 12, 3º B. Me llamo Jimena Coruzabal. "
+    text = one * 2000 + "Soy " * 100_000 + "@" * 100_000 + " " * 100_000 + "a" * 200_000 + "@x.example"
+    start = time.time()
+    found = finder.spans(text)
+    assert len(text) > 10**6 - 300_000 and len(found) >= 10_000 and time.time() - start < 15
+
+
+def test_accounts_are_found_only_if_asked(spark):
+    df = spark.createDataFrame([("t", 1, "f", "ES9121000418450200051332 612345678")], "tbl string, row_id bigint, field string, text string")
+    assert {r.kind for r in P.find(df, [], []).collect()} == {"phone"}
+    assert {r.kind for r in P.find(df, [], [], (*P.KINDS, "account")).collect()} == {"phone", "account"}

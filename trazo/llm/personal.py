@@ -1,12 +1,14 @@
 """Problem 2: personal information inside free text.
 
 Method: anchor expansion. One Aho-Corasick pass over the repaired, lower-cased text finds
-anchors: at-signs and their spellings, digits, schemes of streets, titles, given names and
-the cues that announce a name. A deterministic parser for the anchor's kind expands it to
-the left and right and validates what it found. Identity and phone numbers, in words too, are
-found by a pattern scan of the whole text instead.
-Kinds are parsed in the order e-mail, identity number, phone, address, name; what an earlier
-kind holds is closed to later ones.
+anchors: at-signs and their spellings, digits, words of numbers, schemes of streets, titles,
+given names and the cues that announce a name. A deterministic parser for the anchor's kind
+expands it to the left and right, over no more than NEAR characters, and validates what it
+found. Only initials and two capitalised words in a row, which no fixed word announces, are
+found by patterns; the time a text takes grows with its length and no faster.
+Kinds are parsed in the order e-mail, account, identity number, phone, address, name; what an
+earlier kind holds is closed to later ones. Account numbers (IBAN, payment cards) are replaced
+too, but aren't among the kinds that ``find`` is asked for by default.
 
 The text is repaired first (see ``lookalikes``), with a map back to the given characters, so
 full-width digits or an invisible character inside a number hide nothing and the rest of
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from trazo.llm.lookalikes import fold
 
 KINDS = ("email", "phone", "id_number", "address", "name")
+#: Characters to either side of an anchor that belong to its surroundings; no local part of an address is longer.
+NEAR = 100
 #: Given names are sent to every task; a larger table is refused rather than broadcast.
 MOST_GIVEN_NAMES = 200_000
 
@@ -91,6 +96,9 @@ _TENS = dict(zip("treinta cuarenta cincuenta sesenta setenta ochenta noventa".sp
 _HUNDREDS = dict(zip("cien ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos".split(), "1123456789"))
 _number_words = sorted({*_UNITS, *_TEENS, *_TENS, *_HUNDREDS, *(w.translate(str.maketrans("éó", "eo")) for w in _TEENS)}, key=len, reverse=True)
 _spelled = re.compile(rf"(?<!\w)(?:{'|'.join(_number_words)})(?:[\s,\-]+(?:y\s+)?(?:{'|'.join(_number_words)}))+(?!\w)", re.I)
+_spelled_left = re.compile(rf"(?<!\w)((?:{'|'.join(_number_words)})[\s,\-]+(?:y\s+)?)$", re.I)
+_iban = re.compile(r"(?<![\w])[A-Za-z]{2}\d{2}(?:\s?[A-Za-z0-9]){11,30}")
+_card = re.compile(r"(?<![\w+/\-])[2-6]\d{3}(?P<c>[ \-]?)\d{4,6}(?P=c)\d{4,5}(?:(?P=c)\d{1,4})?(?![\w/\-])")
 _DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"  # fixed value: control letter by remainder
 _id_cue = re.compile(r"(?<!\w)(?:dni|nif|nie|documento|identidad|identificación|identificacion|carné|carne|carnet|pasaporte|afiliación)(?!\w)")
 # addresses
@@ -165,17 +173,24 @@ class Finder:
         return found
 
     # -- one kind each ---------------------------------------------------------------
-    def emails(self, text: str, at: list[tuple[int, int]], closed: list[tuple[int, int]]) -> None:
+    def _take(self, kind: str, a: int, b: int) -> None:
+        self._out.append((kind, a, b))
+        self._closed[a:b] = b"\x01" * (b - a)
+
+    def emails(self, text: str, at: list[tuple[int, int]]) -> None:
         for a, b in at:
-            if _inside(a, closed):
+            if self._closed[a]:
                 continue
-            left = text[:a]
+            base = max(0, a - NEAR)
+            left = text[base:a]
             spelled = text[a:b] != "@"
             cut = _brackets[0].search(left).start()
             m = _local_left.search(left[:cut].rstrip())
             if not m:
                 continue
-            start, local = m.start(), m[0]
+            start, local = base + m.start(), m[0]
+            if start == base > 0:
+                continue  # longer than any local part
             while local and not local[0].isalnum():
                 start, local = start + 1, local[1:]
             if not local or not local[-1].isalnum():
@@ -193,41 +208,78 @@ class Finder:
                 labels.pop()
             if len(labels) < 2:
                 continue
-            end = tight.end()
-            closed.append((start, end))
-            yield_ = ("email", start, end)
-            self._out.append(yield_)
-
-    def numbers(self, text: str, low: str, closed: list[tuple[int, int]]) -> None:
-        for m in _id.finditer(text):
-            if _inside(m.start(), closed):
+            self._take("email", start, tight.end())
+
+    def accounts(self, text: str, runs: list[int]) -> None:
+        """IBANs and payment cards, from the first digit of each run; only those whose check digits are right."""
+        pos = 0
+        for d in runs:
+            if d < pos or self._closed[d]:
+                continue
+            if d >= 2 and text[d - 2 : d].isalpha():
+                end = _iban_end(text, d - 2)
+            else:
+                m = _card.match(text, d, d + NEAR)
+                end = m.end() if m and _luhn(m[0]) else 0
+            if end:
+                self._take("account", d - 2 if text[d - 1 : d].isalpha() else d, end)
+                pos = end
+
+    def numbers(self, text: str, low: str, runs: list[int]) -> None:
+        """Identity numbers, from the first digit of each run; the letter of a foreigner's number stands up to four places before it."""
+        pos = 0
+        for d in runs:
+            if d < pos:
                 continue
-            if letter := m["dl"] or m["nl"]:  # a wrong control letter needs a cue in front
-                digits = "".join(c for c in m[0] if c.isdigit())
-                lead = {"Y": "1", "Z": "2"}.get(m[0][0].upper(), "")
-                if _DNI_LETTERS[int(lead + digits) % 23] != letter.upper() and not _id_cue.search(low, max(0, m.start() - 30), m.start()):
+            for s in range(max(pos, d - 4), d + 1):
+                if s < d and text[s] not in "XYZxyz" or not (m := _id.match(text, s, d + NEAR)):
                     continue
-            self._out.append(("id_number", m.start(), m.end()))
-            closed.append(m.span())
+                pos = m.end()
+                if not self._closed[m.start()] and self._valid(m, low):
+                    self._take("id_number", m.start(), m.end())
+                break
 
-    def phones(self, text: str, closed: list[tuple[int, int]]) -> None:
+    @staticmethod
+    def _valid(m: re.Match, low: str) -> bool:
+        """The control letter is right, or a cue stands in front; the same for twelve digits without separators and their control number."""
+        digits = "".join(c for c in m[0] if c.isdigit())
+        if letter := m["dl"] or m["nl"]:
+            lead = {"Y": "1", "Z": "2"}.get(m[0][0].upper(), "")
+            right = _DNI_LETTERS[int(lead + digits) % 23] == letter.upper()
+        elif m["nss12"]:
+            whole = int(digits[:10]) if int(digits[2:10]) >= 10**7 else int(digits[:2] + digits[3:10])
+            right = whole % 97 == int(digits[10:]) and int(digits[:2]) > 0
+        else:
+            right = True
+        return right or _id_cue.search(low, max(0, m.start() - 40), m.start()) is not None
+
+    def phones(self, text: str, runs: list[int]) -> None:
+        """Phone numbers, from the first digit of each run; a plus sign or bracket stands up to four places before it."""
         pos = 0
-        while m := _phone.search(text, pos):
-            pos = m.end()
-            if _inside(m.start(), closed) or _inside(m.end() - 1, closed):
-                pos = m.start() + 1
+        for d in runs:
+            if d < pos:
                 continue
-            if m["intl"]:
-                digits = sum(c.isdigit() for c in m[0])
-                if not 9 <= digits <= 15:
-                    pos = m.start() + 1
+            for s in range(max(pos, d - 4), d + 1):
+                if s < d and text[s] not in "(+" or not (m := _phone.match(text, s, d + NEAR)):
                     continue
-            self._out.append(("phone", m.start(), m.end()))
-            closed.append(m.span())
+                if self._closed[m.start()] or self._closed[m.end() - 1] or m["intl"] and not 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+                    continue
+                pos = m.end()
+                self._take("phone", m.start(), pos)
+                break
 
-    def spelled(self, low: str, closed: list[tuple[int, int]]) -> None:
-        """Phone numbers in words: runs of number words that give nine digits and begin with 6 to 9."""
-        for run in _spelled.finditer(low):
+    def spelled(self, low: str, at: list[tuple[int, int]]) -> None:
+        """Phone numbers in words: runs of number words, from the anchors on, that give nine digits and begin with 6 to 9."""
+        pos = 0
+        for a, _ in at:
+            if a < pos:
+                continue
+            while before := _spelled_left.search(low, max(pos, a - 30), a):  # words that are too common for an anchor
+                a = before.start(1)
+            run = _spelled.match(low, a)
+            if not run:
+                continue
+            pos = run.end()
             got, start, end = "", run.start(), 0
             for (a, b), digits in _digits(run[0]):
                 if not got:
@@ -236,17 +288,17 @@ class Finder:
                 if got in ("34", "0034"):  # the country's number
                     got = ""
                 if len(got) >= 9:
-                    if len(got) == 9 and got[0] in "6789" and not _inside(start, closed):
-                        self._out.append(("phone", start, end))
-                        closed.append((start, end))
+                    if len(got) == 9 and got[0] in "6789" and not self._closed[start]:
+                        self._take("phone", start, end)
                     got = ""
 
-    def addresses(self, text: str, low: str, streets: list[tuple[int, int]], closed: list[tuple[int, int]]) -> None:
+    def addresses(self, text: str, low: str, streets: list[tuple[int, int]]) -> None:
+        small = text.islower()
         for a, b in streets:
-            if _inside(a, closed):
+            if self._closed[a]:
                 continue
-            m = _street_rest.match(text, b)
-            if not m or _inside(m.end() - 1, closed) or _inside(m.start("name"), closed):
+            m = _street_rest.match(text, b, b + 2 * NEAR)
+            if not m or self._closed[m.end() - 1] or self._closed[m.start("name")]:
                 continue
             words = m["name"].split()
             core = [w for w in words if w.lower() not in ("de", "del", "la", "las", "los", "el", "y")]
@@ -256,22 +308,21 @@ class Finder:
                 continue
             end = m.end()
             for _ in range(4):
-                f = _floor.match(text, end)
-                if not f or _inside(f.end() - 1, closed):
+                f = _floor.match(text, end, end + NEAR)
+                if not f or self._closed[f.end() - 1]:
                     break
                 end = f.end()
-            p = _post.match(text, end)
-            if p and not _inside(p.end() - 1, closed):
+            p = _post.match(text, end, end + NEAR)
+            if p and not self._closed[p.end() - 1]:
                 end = p.end()
-                t = _town_in.match(text, end) or _town.match(text, end)
-                if not t and text.islower():
-                    t = _town_low.match(text, end)
-                if t and not _inside(t.end() - 1, closed) and bare(t[0].strip(" ,()")) not in self.common_bare:
+                t = _town_in.match(text, end, end + NEAR) or _town.match(text, end, end + NEAR)
+                if not t and small:
+                    t = _town_low.match(text, end, end + NEAR)
+                if t and not self._closed[t.end() - 1] and bare(t[0].strip(" ,()")) not in self.common_bare:
                     end = t.end()
-            elif (t := _town_in.match(text, end)) and not _inside(t.end() - 1, closed):
+            elif (t := _town_in.match(text, end, end + NEAR)) and not self._closed[t.end() - 1]:
                 end = t.end()
-            self._out.append(("address", a, end))
-            closed.append((a, end))
+            self._take("address", a, end)
 
     # -- names -----------------------------------------------------------------------
     def _surname(self, w: str, least: int = 4) -> bool:
@@ -279,7 +330,7 @@ class Finder:
         low = w.lower()
         return len(w) >= least and low not in NOT_NAMES and low not in self.common and bare(w) not in self.common_bare
 
-    def names(self, text: str, anchors: dict, closed: list[tuple[int, int]]) -> None:
+    def names(self, text: str, anchors: dict) -> None:
         words = [(m.start(), m.end(), m[0]) for m in _word.finditer(text)]
         n = len(words)
         if not n:
@@ -299,7 +350,7 @@ class Finder:
             return None if "\n" in mid else mid.strip(" \t") if mid else "-"
 
         def free(i: int) -> bool:
-            return i not in used and not _inside(words[i][0], closed)
+            return i not in used and not self._closed[words[i][0]]
 
         def after_particles(i: int) -> int:
             """The word i, or the one behind the particles that begin there."""
@@ -327,8 +378,7 @@ class Finder:
 
         def take(i: int, j: int) -> None:
             used.update(range(i, j))
-            self._out.append(("name", words[i][0], words[j - 1][1]))
-            closed.append((words[i][0], words[j - 1][1]))
+            self._take("name", words[i][0], words[j - 1][1])
 
         # initials and surname: A. Garrigaz
         for i in range(n - 1):
@@ -375,8 +425,8 @@ class Finder:
                     continue
             take(i, surnames(j, style[j]))
         # a given name that isn't listed: announced before or behind, or two capitals in a row
-        cues = [b for _, b in anchors.get("cue", ())]
-        behind = [a for a, _ in anchors.get("after", ())]
+        cues = sorted(b for _, b in anchors.get("cue", ()))
+        behind = sorted(a for a, _ in anchors.get("after", ()))
         for i in range(n - 1):
             mid = between(i)
             if mid not in ("", ",") or not free(i) or not free(i + 1) or not self._surname(words[i][2], 3):
@@ -389,31 +439,35 @@ class Finder:
                 continue
             a, b = words[i][0], words[end - 1][1]
             s = with_title(i)
-            cued = any(c <= words[s][0] and not text[c : words[s][0]].strip(" :\u00bf\u00a1,") for c in cues)
-            ends = any(c >= b and not text[b:c].strip(" ") for c in behind)
+            # the nearest cue decides: what parts it from the name parts every other one too
+            k = bisect_right(cues, words[s][0]) - 1
+            cued = k >= 0 and words[s][0] - cues[k] <= NEAR and not text[cues[k] : words[s][0]].strip(" :\u00bf\u00a1,")
+            k = bisect_left(behind, b)
+            ends = k < len(behind) and behind[k] - b <= NEAR and not text[b : behind[k]].strip(" ")
             if style[i] == "T" and plain_case and not mid:
                 if not (cued or ends or p == i + 1 and self._alone(text, a, b)) and (self._sentence_start(text, a) or len(words[i - 1][2]) < 4 and between(i - 1) == ""):
                     continue  # a place behind its preposition, or a sentence's first word
-            elif words[i][2].lower() in _ARTICLES or not cued and not (ends and self._begins(text, a, closed) and text[b : b + 4].lower() == " me ") and not (ends and i and words[i - 1][2].lower() == "ayer"):
+            elif words[i][2].lower() in _ARTICLES or not cued and not (ends and self._begins(text, a) and text[b : b + 4].lower() == " me ") and not (ends and i and words[i - 1][2].lower() == "ayer"):
                 continue
             take(s, end)
 
     @staticmethod
     def _sentence_start(text: str, a: int) -> bool:
-        head = text[:a].rstrip(" ¿¡\"«(“—-")
-        return not head or head[-1] in ".!?…\n:"
+        i = _back(text, a, " ¿¡\"«(“—-")
+        return i < 0 or text[i] in ".!?…\n:"
 
-    @staticmethod
-    def _begins(text: str, a: int, closed: list[tuple[int, int]]) -> bool:
+    def _begins(self, text: str, a: int) -> bool:
         """No word that is still open stands right before the place."""
-        head = text[:a].rstrip()
-        return not head or not head[-1].isalpha() or _inside(len(head) - 1, closed)
+        i = _back(text, a)
+        return i < 0 or not text[i].isalpha() or bool(self._closed[i])
 
     @staticmethod
     def _alone(text: str, a: int, b: int) -> bool:
         """The span is a sentence of its own."""
-        head, tail = text[:a].rstrip(), text[b:].lstrip(" ")
-        return (not head or head[-1] in ".!?…\n") and (not tail or tail[0] in ".!?\n")
+        i = _back(text, a)
+        while b < len(text) and text[b] == " ":
+            b += 1
+        return (i < 0 or text[i] in ".!?…\n") and (b == len(text) or text[b] in ".!?\n")
 
     # -- all -------------------------------------------------------------------------
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
@@ -426,21 +480,24 @@ class Finder:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in folded)
         anchors = self.anchors(low)
         self._out: list[tuple[str, int, int]] = []
-        closed: list[tuple[int, int]] = []
+        self._closed = bytearray(len(folded) + 1)
         if "mail" in anchors:
-            self.emails(folded, anchors["mail"], closed)
+            self.emails(folded, anchors["mail"])
         if "digit" in anchors:
             if len(anchors["digit"]) > 6:
-                self.numbers(folded, low, closed)
-                self.phones(folded, closed)
+                at = [a for a, _ in anchors["digit"]]
+                runs = [a for i, a in enumerate(at) if not i or at[i - 1] != a - 1]
+                self.accounts(folded, runs)
+                self.numbers(folded, low, runs)
+                self.phones(folded, runs)
             if "street" in anchors:
-                self.addresses(folded, low, anchors["street"], closed)
+                self.addresses(folded, low, anchors["street"])
         elif "street" in anchors and "s/n" in low:
-            self.addresses(folded, low, anchors["street"], closed)
+            self.addresses(folded, low, anchors["street"])
         if len(anchors.get("spelled", ())) > 1:
-            self.spelled(low, closed)
+            self.spelled(low, anchors["spelled"])
         if not anchors.keys().isdisjoint(_NAME_ANCHORS) or _initial.search(folded) or _two_capitals.search(folded):
-            self.names(folded, anchors, closed)
+            self.names(folded, anchors)
         out = sorted(self._out, key=lambda x: x[1])
         if places is None:
             return out
@@ -506,8 +563,32 @@ def _counts(word: str) -> bool:
     return _count.fullmatch(word) is not None
 
 
-def _inside(i: int, closed: list[tuple[int, int]]) -> bool:
-    return any(a <= i < b for a, b in closed)
+def _back(text: str, a: int, skip: str | None = None) -> int:
+    """The last place before a that holds none of the characters, or no blank; -1 if there is none."""
+    i = a - 1
+    while i >= 0 and (text[i].isspace() if skip is None else text[i] in skip):
+        i -= 1
+    return i
+
+
+def _iban_end(text: str, a: int) -> int:
+    """Where the international account number that begins at the place ends, by its check digits; 0 if there is none."""
+    m = _iban.match(text, a)
+    end = m.end() if m else 0
+    while end > a:
+        x = re.sub(r"\s", "", text[a:end]).upper()
+        if len(x) < 15:
+            break
+        if x.isascii() and not text[end : end + 1].isalnum() and text[end - 1].isalnum() and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1:
+            return end
+        end -= 1
+    return 0
+
+
+def _luhn(card: str) -> bool:
+    """The check digit of a payment card is right."""
+    digits = [int(c) for c in card if c.isdigit()][::-1]
+    return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and sum(d if not i % 2 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
 
 
 _BARE = {bare(w): d for w, d in _UNITS.items()} | {bare(w): d for w, d in _TEENS.items()} | {w: d + "0" for w, d in _TENS.items()} | {w: d + "00" for w, d in _HUNDREDS.items()}
@@ -521,7 +602,7 @@ def given_list(given_names: DataFrame) -> list[str]:
     return [r[0] for r in rows]
 
 
-def find(rows: DataFrame, given: list[str], common: list[str]) -> DataFrame:
+def find(rows: DataFrame, given: list[str], common: list[str], kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(tbl, row_id, field, kind, ord, start, stop) of every finding in (tbl, row_id, field, text).
 
     ord numbers the findings of a kind in one text from 1; start and stop are code points of
@@ -536,8 +617,10 @@ def find(rows: DataFrame, given: list[str], common: list[str]) -> DataFrame:
         for b in batches:
             out = []
             for tbl, row_id, field, text in zip(b["tbl"], b["row_id"], b["field"], b["text"]):
-                seen = dict.fromkeys(KINDS, 0)
+                seen = dict.fromkeys(kinds, 0)
                 for kind, a, z in finder.spans(text):
+                    if kind not in seen:
+                        continue
                     seen[kind] += 1
                     out.append((tbl, row_id, field, kind, seen[kind], a, z))
             yield pd.DataFrame(out, columns=["tbl", "row_id", "field", "kind", "ord", "start", "stop"])
