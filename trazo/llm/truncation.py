@@ -111,7 +111,7 @@ SELECT listed, a, b, c, count(*) AS seen, count_if(how = 1) AS ends, count_if(ho
 #: The last trigram of every text with an open end; no shuffle.
 TAILS = rf"""{PARTS},
 near AS (
-  SELECT doc_id, source, length(whole) AS n_chars, octet_length(replace(whole, '�', '')) AS n_bytes, right(text, 60) AS body, right(full, 60) AS tail, line
+  SELECT doc_id, source, whole, right(text, 60) AS body, right(full, 60) AS tail, line
   FROM docs {_once("substring_index(text, '\\n', -1)", "line")}
 ),
 some_ AS (SELECT *, length(line) > {NEAR} AS long_ FROM near {_once(f"regexp_extract_all(right(line, {NEAR}), {{token}}, 0)", "some")}),
@@ -119,7 +119,7 @@ tokens AS (SELECT * FROM some_ {_once("IF(long_ AND size(some) < 5, regexp_extra
 last_ AS (
   SELECT *, coalesce(try_element_at(w, -3), '^') AS x, coalesce(try_element_at(w, -2), '^') AS y, try_element_at(w, -1) AS z FROM tokens WHERE size(w) > 0
 )
-SELECT doc_id, source, n_chars, n_bytes, body, line RLIKE {{listed}} AS listed, IF({_stop("y")}, '^', {_word("x")}) AS a, {_word("y")} AS b, {_word("z")} AS c,
+SELECT doc_id, source, length(whole) AS n_chars, octet_length(replace(whole, '�', '')) AS n_bytes, body, line RLIKE {{listed}} AS listed, IF({_stop("y")}, '^', {_word("x")}) AS a, {_word("y")} AS b, {_word("z")} AS c,
        tail RLIKE {{sign}} OR body RLIKE {{sign}} AS signed
 FROM last_ WHERE NOT {_stop("z")}
 """
