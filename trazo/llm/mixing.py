@@ -1,8 +1,12 @@
 """Problem 7: mixing sources to target weights.
 
-Method: Pfair scheduling. A source's tokens are cut into blocks; block j of a source with
-weight w is released at slot floor(j / w) and due at slot ceil((j + 1) / w); earliest deadline
-first fills the slots, and no source is ever a whole block ahead of or behind its share.
+Method: Pfair scheduling. A source's tokens are cut into slots of half a block; slot j of a
+source with weight w is released at floor(j / w) and due at ceil((j + 1) / w); earliest deadline
+first fills the slots, so no source is ever a whole slot ahead of or behind its share. A
+document belongs to the slot in which its middle lies and is never cut, which moves a source
+by half a document at most. Half a block is chosen to hold the longest document and what all
+sources' half documents can add up to; so after every slot each source is less than one block
+of tokens from its share, and no slot is empty.
 Weights are whole numbers of slots in a period, so the schedule repeats after a period: the
 driver schedules one period, whose length is chosen from the weights, whatever the size of the data.
 """
@@ -20,7 +24,7 @@ from trazo.session import durable
 
 #: Slots of a period at least and at most; shares that need more are refused.
 PERIOD, MOST_PERIOD = 1000, 100_000
-#: Tokens of a block.
+#: Tokens of a block at least; a mix with long documents has larger ones.
 BLOCK_TOKENS = 2048
 #: Rows that one window orders for a running sum.
 BUCKET_ROWS = 20_000
@@ -74,8 +78,15 @@ def schedule(weights: dict[str, int]) -> list[str]:
     return out
 
 
+def half_block(longest: int, share: dict[str, int], block_tokens: int = BLOCK_TOKENS) -> int:
+    """Tokens of a slot: half a block, the longest document, or half a document of each source weighed by the largest share, whichever is most."""
+    total, n = sum(share.values()), len(share)
+    others = -(-longest * (total + (n - 2) * max(share.values())) // (2 * total)) if n > 1 else 0
+    return max(-(-block_tokens // 2), longest, others)
+
+
 def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, period: int | None = None) -> DataFrame:
-    """(mix, source, doc_id, pass, slot, tokens): every use of a document in every mix, in the order of slot.
+    """(mix, source, doc_id, pass, slot, tokens, block): every use of a document in every mix, in the order of slot; block is the mix's block in tokens.
 
     sized: (doc_id, source, tokens); a null source is in no mix, documents without tokens
     are left out. targets: (mix, source, target_share, max_repeats).
@@ -91,7 +102,7 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS,
         raise ValueError(f"more than {MOST_TARGETS} targets")
     used = sorted({r.source for r in want if r.source is not None})
     rows = durable(sized.where(F.col("source").isin(used) & (F.col("tokens") > 0)).select("doc_id", "source", "tokens"))
-    have = {r.source: (r.tokens, r.n) for r in rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()}
+    have = {r.source: (r.tokens, r.n, r.longest) for r in rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.max("tokens").alias("longest")).collect()}
     plan, places = [], []
     for name in sorted({r.mix for r in want if r.mix is not None}):
         live = {r.source: r for r in want if r.mix == name and r.source in have and (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0}
@@ -103,16 +114,17 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS,
         if len(share) < len(live):
             raise ValueError(f"{name}: a share gets none of {n_slots} slots")
         size = min(live[s].max_repeats * have[s][0] * n_slots // k for s, k in share.items())
+        half = half_block(max(have[s][2] for s in share), share, block_tokens)
         for s, k in share.items():
-            plan.append((name, s, int(size * k // n_slots), have[s][0], live[s].max_repeats, k, n_slots))
+            plan.append((name, s, int(size * k // n_slots), have[s][0], live[s].max_repeats, k, n_slots, half))
         seen = dict.fromkeys(share, 0)
         for t, s in enumerate(schedule(share)):
             places.append((name, s, seen[s], t))
             seen[s] += 1
-    plan_df = spark.createDataFrame(plan, "mix string, source string, need long, have long, max_repeats int, k int, period int")
+    plan_df = spark.createDataFrame(plan, "mix string, source string, need long, have long, max_repeats int, k int, period int, half long")
     places_df = spark.createDataFrame(places, "mix string, source string, nth int, place int")
     # running sums by source: a bounded number of rows in each bucket, then the buckets' offsets
-    n_buckets = {s: max(1, -(-n // BUCKET_ROWS)) for s, (_, n) in have.items()}
+    n_buckets = {s: max(1, -(-n // BUCKET_ROWS)) for s, (_, n, _) in have.items()}
     sizes = spark.createDataFrame(sorted(n_buckets.items()), "source string, n_buckets int") if n_buckets else spark.createDataFrame([], "source string, n_buckets int")
     keyed = rows.join(F.broadcast(sizes), "source").withColumn("key", F.xxhash64("doc_id", F.lit("order")))
     keyed = keyed.withColumn("bucket", F.pmod("key", F.col("n_buckets")).cast("int"))
@@ -122,13 +134,14 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS,
     run = keyed.withColumn("before", F.sum("tokens").over(inside) - F.col("tokens")).join(offsets, ["source", "bucket"])
     run = run.select("doc_id", "source", "tokens", (F.col("offset") + F.col("before")).alias("start"))
     # pass r of a document begins at r * have + start; it is used if its middle lies within need
-    uses = run.join(F.broadcast(plan_df), "source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)))
-    uses = uses.withColumn("at", F.col("pass") * F.col("have") + F.col("start")).where("at * 2 + tokens <= need * 2")
-    uses = uses.withColumn("block", F.floor(F.col("at") / F.lit(block_tokens)))
+    uses = run.join(F.broadcast(plan_df), "source")
+    uses = uses.where("start * 2 + tokens <= need * 2").withColumn("last", F.expr("CAST(least((need * 2 - tokens - start * 2) div (have * 2), max_repeats - 1) AS int)"))
+    uses = uses.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    uses = uses.withColumn("block", F.expr("((pass * have + start) * 2 + tokens) div (half * 2)"))
     uses = uses.withColumn("nth", (F.col("block") % F.col("k")).cast("int"))
     placed = uses.join(F.broadcast(places_df), ["mix", "source", "nth"])
     slot = F.floor(F.col("block") / F.col("k")) * F.col("period") + F.col("place")
-    return placed.select("mix", "source", "doc_id", "pass", slot.cast("long").alias("slot"), "tokens")
+    return placed.select("mix", "source", "doc_id", "pass", slot.cast("long").alias("slot"), "tokens", (F.col("half") * 2).alias("block"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
