@@ -102,3 +102,45 @@ def test_more_capacities_than_the_bound_are_refused(spark, tmp_path):
     spark.range(1, 10_003).selectExpr("id AS capacity_tokens").write.parquet(f"{tmp_path}/containers.parquet")
     with pytest.raises(ValueError):
         catalog._capacities(spark, str(tmp_path))
+
+
+def test_no_source_is_a_block_from_its_share(spark):
+    """After every slot, in tokens, with documents longer than the block that was asked for."""
+    rng = random.Random(18)
+    for n, longest, weights in ((5, 400, (0.3, 0.25, 0.2, 0.15, 0.1)), (2, 3000, (0.65, 0.35)), (4, 30, (0.97, 0.01, 0.01, 0.01)), (1, 50, (1.0,))):
+        names = "abcdefgh"[:n]
+        docs = [(i, rng.choice(names), max(1, int(longest * rng.random() ** 3))) for i in range(1500)]
+        sized = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint")
+        targets = spark.createDataFrame([("m", s, w, 3) for s, w in zip(names, weights)], "mix string, source string, target_share double, max_repeats int")
+        rows = M.mix(sized, targets, block_tokens=100).collect()
+        block, got, slots = rows[0].block, dict.fromkeys(names, 0), {}
+        for r in rows:
+            slots.setdefault(r.slot, []).append(r)
+        ends = {s: max(r.slot for r in rows if r.source == s) for s in names}
+        assert block >= 2 * max(r.tokens for r in rows) and all(k in slots for k in range(min(ends.values())))  # the last slots are partly filled
+        for k in sorted(slots):
+            for r in slots[k]:
+                got[r.source] += r.tokens
+            if k <= min(ends.values()):
+                total = sum(got.values())
+                assert all(abs(got[s] - w * total) < block and abs(got[s] - w * (k + 1) * block / 2) < block for s, w in zip(names, weights))
+
+
+def test_each_capacity_in_one_plan(spark):
+    rng = random.Random(19)
+    sized = spark.createDataFrame([(i, rng.randrange(0, 300)) for i in range(500)] + [(None, 7)], "id bigint, size bigint")
+    got = P.assign_each(sized, [128, 64, None, 0], shard_items=100).collect()
+    for c in (64, 128):
+        rows = [r for r in got if r.capacity == c]
+        assert sum(r.size for r in rows) == sum(r["size"] for r in sized.where("id is not null").collect()) and max(r["size"] for r in rows) <= c
+        for b in {r.bin for r in rows}:
+            held = [r for r in rows if r.bin == b]
+            assert sum(r.size for r in held) == held[0].filled <= c
+        assert all(r["size"] == c for r in rows if any(x.id == r.id and x.part > r.part for x in rows))  # only what is longer is split
+    assert P.assign_each(sized.limit(0), [64]).count() == 0
+
+
+def test_shards_stay_apart(spark):
+    sized = spark.range(3000).selectExpr("id", "1 + id % 50 AS size")
+    got = P.assign(sized, [128], shard_items=500)
+    assert got.rdd.getNumPartitions() == 6 and len({r.bin.split("-")[0] for r in got.collect()}) == 6

@@ -93,20 +93,19 @@ def _capacities(spark: SparkSession, sf: str) -> list[int]:
     return [r[0] for r in rows]
 
 
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, size), counted once: the number of items is needed before they are dealt."""
+    return durable(_sized(spark, sf).select(F.col("doc_id").alias("id"), F.col("tokens").alias("size")))
+
+
 def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
     """All capacities jointly."""
-    sized = _sized(spark, sf).select(F.col("doc_id").alias("id"), F.col("tokens").alias("size"))
-    return packing.assign(sized, _capacities(spark, sf), _t(spark, sf, "documents").count())
+    return packing.assign(_items(spark, sf), _capacities(spark, sf))
 
 
 def p6_packed_each(spark: SparkSession, sf: str) -> DataFrame:
     """Every capacity by itself, one assignment of all texts for each."""
-    sized = durable(_sized(spark, sf).select(F.col("doc_id").alias("id"), F.col("tokens").alias("size")))
-    n, out = _t(spark, sf, "documents").count(), None
-    for c in sorted(_capacities(spark, sf)):
-        one = packing.assign(sized, [c], n).select(F.lit(c).cast("long").alias("capacity"), "bin", "id", "part", "size", "filled")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return packing.assign_each(_items(spark, sf), _capacities(spark, sf))
 
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:

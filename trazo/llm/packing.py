@@ -5,8 +5,10 @@ largest first, into the fullest open bin that still holds them; if none does, a
 least-cost size is opened; at the end every bin is downsized to the smallest capacity that
 holds its contents. With a single capacity this is best-fit decreasing.
 
-Items are dealt to shards of a bounded number of items by a hash of their id, and each shard
-is packed by one task. Many shards waste no more than one partly filled bin each.
+Items, as they are after the splitting, are dealt to shards of a bounded number of items by a
+hash of their id. A shard is optimised jointly over all capacities by one task, and shards are
+spread over tasks by number, so the adaptive reader never puts them together again. Shards are
+independent: each may waste what one partly filled bin of each size leaves.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Items a task packs; a shard's memory and time are bounded by it.
-SHARD_ITEMS = 20_000
+SHARD_ITEMS = 8_000
+#: Tasks that shards are spread over at most; beyond it a task packs several, one after another.
+MOST_TASKS = 20_000
 
 
 def pack(sizes: list[int], capacities: list[int]) -> tuple[list[int], list[int], list[int]]:
@@ -98,28 +102,54 @@ def items(sized: DataFrame, largest: int) -> DataFrame:
     return split.select("id", "part", F.least(F.lit(largest).cast("long"), F.col("size") - F.col("part") * F.lit(largest)).alias("size"))
 
 
-def assign(sized: DataFrame, capacities: list[int], n_items: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """(id, part, size, bin, capacity, filled) for every item of (id bigint, size bigint).
+def assign(sized: DataFrame, capacities: list[int], n_items: int | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """(id, part, size, bin, capacity, filled) for every item of (id bigint, size bigint), all capacities jointly.
 
-    bin is a string, unique over all shards. n_items: how many rows ``sized`` has; it sets
-    the number of shards. An empty input gives no rows; ids are taken as unique.
+    bin is a string, unique over all shards. n_items: how many items there are, which sets the
+    number of shards; counted if it isn't given, so ``sized`` should be cheap to read then. An
+    empty input gives no rows; ids are taken as unique.
     """
+    caps = _valid(capacities)
+    every = items(sized, caps[-1])
+    return _packed(every, [caps], n_items if n_items is not None else every.count(), shard_items).drop("ladder")
+
+
+def assign_each(sized: DataFrame, capacities: list[int], shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """(capacity, bin, id, part, size, filled): every capacity by itself, one assignment of all items for each; bins are named anew for each capacity."""
+    caps = _valid(capacities)
+    ladder = F.posexplode(F.array(*[F.lit(c).cast("long") for c in caps]))
+    pieces = F.sequence(F.lit(0), F.ceil(F.col("size") / F.col("largest")).cast("int") - 1)
+    each = sized.where("id is not null and size > 0").select("id", "size", ladder.alias("ladder", "largest")).select("ladder", "id", "size", "largest", F.explode(pieces).alias("part"))
+    each = each.select("ladder", "id", "part", F.least("largest", F.col("size") - F.col("part") * F.col("largest")).alias("size"))
+    most = sized.agg(F.sum(F.ceil(F.col("size") / F.lit(caps[0])))).first()[0] or 0
+    return _packed(each, [[c] for c in caps], int(most), shard_items).select("capacity", "bin", "id", "part", "size", "filled")
+
+
+def _valid(capacities: list[int]) -> list[int]:
     caps = sorted({int(c) for c in capacities if c and c > 0})
     if not caps:
         raise ValueError("no capacity")
+    return caps
+
+
+def _packed(every: DataFrame, ladders: list[list[int]], n_items: int, shard_items: int) -> DataFrame:
+    """The items (id, part, size, and ladder where there are several) packed into the sizes of their ladder, shard by shard."""
     shards = max(1, -(-n_items // shard_items))
-    dealt = items(sized, caps[-1]).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    if "ladder" not in every.columns:
+        every = every.withColumn("ladder", F.lit(0))
+    dealt = every.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    dealt = dealt.repartition(min(shards * len(ladders), MOST_TASKS), "ladder", "shard")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "id", "part"], ascending=[False, True, True], ignore_index=True)
-        where, size, filled = pack_jointly(pdf["size"].tolist(), caps)
-        shard = int(pdf["shard"].iloc[0])
+        ladder, shard = int(pdf["ladder"].iloc[0]), int(pdf["shard"].iloc[0])
+        where, size, filled = pack_jointly(pdf["size"].tolist(), ladders[ladder])
         return pd.DataFrame({
-            "id": pdf["id"], "part": pdf["part"], "size": pdf["size"], "bin": [f"{shard}-{b}" for b in where],
+            "ladder": pdf["ladder"], "id": pdf["id"], "part": pdf["part"], "size": pdf["size"], "bin": [f"{shard}-{b}" for b in where],
             "capacity": [size[b] for b in where], "filled": [filled[b] for b in where],
         })
 
-    return dealt.groupBy("shard").applyInPandas(run, "id long, part int, size long, bin string, capacity long, filled long")
+    return dealt.groupBy("ladder", "shard").applyInPandas(run, "ladder int, id long, part int, size long, bin string, capacity long, filled long")
 
 
 def report(assigned: DataFrame) -> DataFrame:
