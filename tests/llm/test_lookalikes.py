@@ -50,3 +50,19 @@ def test_rows(spark):
 def test_texts(spark):
     df = spark.createDataFrame([(1, "a", None), (2, None, None)], "id int, a string, b string")
     assert [tuple(r) for r in L.texts([("t", df, "id", ["a", "b"])]).collect()] == [("t", 1, "a", "a")]
+
+
+def test_the_dominant_script_decides_what_the_vocabulary_does_not():
+    known = {"poca", "casa"}.__contains__
+    assert L.fold("рoса")[0] == "роса" and L.fold("рoса", known)[0] == "poca"  # three Cyrillic letters and a Latin o
+    assert L.fold("cаsа")[0] == "casa" and L.fold("сasa")[0] == "casa"  # Latin at least half
+    assert L.fold("саѕa")[0] == "саѕа" and L.fold("саѕa", known)[0] == "casa"
+    assert L.fold("јоvrе")[0] == "jovre" and L.fold("Τаsinеνі")[0] == "Tasinevi"  # only Latin can read all letters
+    assert L.fold("мaмa")[0] == "мама" and L.fold("мaмaq")[0] == "мамаԛ" and L.fold("жab")[0] == "жab"  # no script reads the last one
+    assert L.readings("рoса") == ({"cyrillic": "роса", "latin": "poca"}, "cyrillic") and L.readings("casa") == ({}, None)
+
+
+def test_tainted_words_give_no_fragments(spark):
+    rows = [("t", i, "f", "un cаsoж") for i in range(5)] + [("t", 9, "f", "с аѕо")]
+    out = {r.row_id: r.repaired for r in L.normalise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[9] == "с аѕо"  # neither "c" nor "aso" is a word of the corpus, parts of tainted words aren't

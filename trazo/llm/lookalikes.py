@@ -1,10 +1,12 @@
 """Problem 3: text that looks the same but holds other characters.
 
-Method: script-aware repair. Every token gets its dominant script; look-alike letters
-are substituted in tokens that mix scripts, and in tokens wholly in another script only
-when the result exists in the corpus vocabulary. Around it stand the repairs that need
-no vocabulary: invisible characters, blanks other than the plain ones, full-width forms,
-ligatures and decomposed accents.
+Method: script-aware repair. A token is read in each script that has a letter, or a twin
+that looks like it, for every one of its letters. Where several scripts can read it, the Latin
+reading is taken if the corpus vocabulary holds it, else a mixed token goes to its dominant
+script and a token of one script stays. A mixed token that one script alone can read takes that
+reading without the vocabulary: names and misspelt words are in no vocabulary, and no word
+mixes scripts on purpose. Around it stand the repairs that need no vocabulary: invisible
+characters, blanks other than the plain ones, full-width forms, ligatures and decomposed accents.
 
 ``fold`` works on one string and also returns where each kept character came from, so
 other operators can search the repaired text and cut the original one.
@@ -20,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trazo.session import durable
+
 #: Letters of Greek and Cyrillic drawn like a Latin one.
 LATIN_TWINS = {
     # Cyrillic
@@ -78,26 +82,62 @@ def _bare(token: str) -> str:
     return "".join(out)
 
 
+#: Letters of another script that look like a Latin one, by script; the first of each in the table above.
+TWINS_OF_LATIN: dict[str, dict[str, str]] = {}
+for _foreign, _latin in LATIN_TWINS.items():
+    TWINS_OF_LATIN.setdefault(_script(_foreign), {}).setdefault(_latin, _foreign)
+
+
+def _in_script(token: str, script: str) -> str | None:
+    """The token with its Latin letters replaced by their twins in a script, or None if a letter has none."""
+    twins, out = TWINS_OF_LATIN.get(script, {}), []
+    for ch in token:
+        base, *marks = unicodedata.normalize("NFD", ch)
+        if not ch.isalpha() or _script(base) == script:
+            out.append(ch)
+            continue
+        both = unicodedata.normalize("NFC", twins[base] + "".join(marks)) if base in twins else ""
+        if len(both) != 1:
+            return None
+        out.append(both)
+    return "".join(out)
+
+
+def readings(token: str) -> tuple[dict[str, str], str | None]:
+    """The token in every script that can read all of it, and its dominant script: the one of most of its letters, Latin at a tie."""
+    count: dict[str, int] = {}
+    for c in token:
+        if c.isalpha():
+            script = _script(unicodedata.normalize("NFD", c)[0])
+            count[script] = count.get(script, 0) + 1
+    if not count or set(count) == {"latin"} and not any(c in LATIN_TWINS for c in token):
+        return {}, None
+    out = {s: r for s in count if s != "latin" and (r := _in_script(token, s)) is not None}
+    fixed = _bare(token)
+    if all(_script(unicodedata.normalize("NFD", c)[0]) == "latin" for c in fixed if c.isalpha()):
+        out["latin"] = fixed
+    return out, max(count, key=lambda s: (count[s], s == "latin"))
+
+
 def repair_token(token: str, known=None) -> str:
     """A token after the repair of look-alikes.
 
-    Mixed scripts: every look-alike of a minority or equal script is replaced if all of
-    them have a Latin twin. One foreign script only: replaced if all letters have a twin
-    and ``known(lower-cased result)`` says that the corpus has it as a Latin word;
-    without ``known`` such a token stays.
+    It stays if no script reads all of it, and takes the reading if only one does. Of several, the Latin
+    one is taken if ``known(lower-cased reading)`` says that the corpus has it, else the
+    one of the dominant script. A single foreign letter is a word only if it is one of
+    ONE_LETTER; without ``known`` nothing is known.
     """
-    letters = [c for c in token if c.isalpha()]
-    scripts = [_script(unicodedata.normalize("NFD", c)[0]) for c in letters]
-    if not letters or set(scripts) <= {"latin"} and not any(c in LATIN_TWINS for c in letters):
-        return token
-    fixed = _bare(token)
-    if any(_script(unicodedata.normalize("NFD", c)[0]) != "latin" for c in fixed if c.isalpha()):
-        return token
-    if "latin" in scripts:
-        return fixed
-    if len(letters) == 1 and letters[0] not in ONE_LETTER:
+    read, dominant = readings(token)
+    if not read:
         return token
-    return fixed if known is not None and known(fixed.lower()) else token
+    if len(read) > 1 and known is not None and known(read["latin"].lower()) and not _lone(token):
+        return read["latin"]
+    return next(iter(read.values())) if len(read) == 1 else read.get(dominant, read["latin"])
+
+
+def _lone(token: str) -> bool:
+    letters = [c for c in token if c.isalpha()]
+    return len(letters) == 1 and letters[0] not in ONE_LETTER
 
 
 def _chars(text: str) -> tuple[list[str], list[int]]:
@@ -160,13 +200,14 @@ def fold(text: str, known=None) -> tuple[str, list[int] | None]:
 
 
 def foreign_tokens(text: str) -> list[str]:
-    """Tokens wholly in another script whose letters all have a Latin twin, as that twin in lower case."""
+    """The Latin readings, in lower case, of the tokens that another script can read too."""
     if plain(text):
         return []
     found = set()
     for m in _token.finditer("".join(_chars(text)[0])):
-        if repair_token(m[0]) == m[0] and repair_token(m[0], lambda _: True) != m[0]:
-            found.add(_bare(m[0]).lower())
+        read, _ = readings(m[0])
+        if len(read) > 1 and "latin" in read and not _lone(m[0]):
+            found.add(read["latin"].lower())
     return sorted(found)
 
 
@@ -197,11 +238,11 @@ def repair(rows: DataFrame) -> DataFrame:
             words = [foreign_tokens(t) for t in b["text"]]
             yield b.assign(words=words)
 
-    odd = odd.mapInPandas(candidates, "tbl string, row_id long, field string, text string, words array<string>")
+    odd = durable(odd.mapInPandas(candidates, "tbl string, row_id long, field string, text string, words array<string>"))
     keys = ["tbl", "row_id", "field", "text"]
     asked = odd.where("size(words) > 0").select(*keys, F.explode("words").alias("word"))
-    # words of the corpus in plain letters, met only where a candidate asks for them
-    corpus = rows.select(F.explode(F.split(F.lower("text"), "[^a-z\u00e0-\u00f6\u00f8-\u00ff\u0153]+")).alias("word"))
+    # whole words of the corpus, met only where a candidate, which has Latin letters alone, asks for them
+    corpus = rows.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word"))
     corpus = corpus.where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
     met = asked.join(corpus.hint("shuffle_hash"), "word", "left_semi").groupBy(*keys).agg(F.collect_set("word").alias("known"))
 
