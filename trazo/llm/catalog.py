@@ -77,7 +77,7 @@ def p4_frequencies(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = pairs.pairs(_t(spark, sf, "user_history"), _t(spark, sf, "feedback_requests"))
-    return pairs.defects(rows, _lexicon(spark, sf))
+    return pairs.defects(rows, _lexicon(spark, sf), pairs.fit_languages(_t(spark, sf, "documents")))
 
 
 def _sized(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,10 +3,10 @@
 Method: prompt and response tokens are aligned, by containment of five-word shingles and by
 the longest common subsequence, to flag copies and answers that stop early; answers that
 don't follow the prompt are aligned, word by word, against refusal templates; what is left is held against
-the prompt's language.
+the prompt's language, told by letter trigrams fitted on labelled texts.
 
-Whether a copied prompt needed a correction is asked of the whole corpus: a word is taken
-for an error if aligned answers change it more often than they keep it.
+Every pair is judged by itself in one pass. An answer that gives back the prompt's words and
+nothing else is a copy, whether or not the prompt held anything to correct.
 """
 
 from __future__ import annotations
@@ -14,14 +14,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trazo.session import durable
-
 SHINGLE, SIMILAR = 5, 0.8
+#: Texts of more letters are aligned by words instead of letters, which keeps the longest pairs affordable.
+BY_WORDS = 20_000
+#: Languages are told by profiles of so many letter trigrams, fitted on about so many labelled texts each; rarer languages than LEAST_TEXTS have none.
+PROFILE, FIT_TEXTS, LEAST_TEXTS, MOST_LANGUAGES = 4_000, 400, 10, 30
+#: Least lead of an answer's language over the prompt's, in nats a trigram.
+LEAD = 0.25
 #: Templates of so many words are aligned, the others stand in one piece; share of a template's words, words put in between, letters of a misspelt word.
 ALIGNED_WORDS, ALIGNED_SHARE, BETWEEN, MISSPELT = 3, 0.8, 2, 5
 #: What the service reads as true.
@@ -105,16 +110,6 @@ es tut mir leid
 não posso
 sinto muito mas""".split("\n")
 )
-#: Short words that tell the languages apart.
-LANGUAGE_WORDS = {
-    "es": "el la los las un una unos unas de del al en y que con por para su sus mi mis se no lo le me te es fue era muy más pero porque cuando donde como sobre sin hasta desde entre todo nadie hay ha había está tengo quiero dice qué quién yo ella él nuestro este esta durante mientras aunque",
-    "en": "the a an of to in and that with for his her their my our is was were very but because when where as on without until from between all nobody has had it this these during while although so we he she they at by near into an under",
-    "fr": "le la les un une des du de au aux en et que qui avec pour son sa ses mon ma mes notre se ne pas il elle est était très mais parce quand où comme sur sans dans près ce cette pendant bien l d qu a sous nous ils",
-    "de": "der die das den dem des ein eine einen einem einer und in im am an auf aus bei mit nach von vom zu zum zur ist war sehr aber weil wenn wo als ohne bis zwischen alle niemand hat hatte es dieser diese während obwohl wir er sie unter unser unsere mein meine nicht",
-    "pt": "o a os as um uma uns umas de do da dos das em no na nos nas e que com por para seu sua meu minha se não é foi era muito mas porque quando onde como sobre sem até desde entre todos ninguém há tinha este esta durante embora enquanto ao à perto",
-}
-_LANG = {k: frozenset(v.split()) for k, v in LANGUAGE_WORDS.items()}
-_LETTERS = {"es": "ñ¿¡", "fr": "çœêèùûîô", "de": "äöüß", "pt": "ãõçâê"}
 _word = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _unseen = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
@@ -128,16 +123,45 @@ def words(text: str | None) -> list[str]:
     return _word.findall(_unseen.sub("", text or "").lower())
 
 
-def language(tokens: list[str], text: str = "") -> tuple[str, float]:
-    """Best language and its lead over the second, in votes a token."""
-    if not tokens:
-        return "", 0.0
-    score = {k: float(sum(t in v for t in tokens)) for k, v in _LANG.items()}
-    low = text.lower()
-    for k, letters in _LETTERS.items():
-        score[k] += 0.7 * sum(c in letters for c in low)
-    (best, a), (_, b) = sorted(score.items(), key=lambda x: -x[1])[:2]
-    return best, (a - b) / len(tokens)
+class Languages:
+    """Tells languages by letter trigrams. counts: {language: {trigram: how often}}."""
+
+    def __init__(self, counts: dict[str, dict[str, int]]):
+        self.logs, self.floor = {}, {}
+        for lang, grams in counts.items():
+            total = sum(grams.values()) + PROFILE
+            self.logs[lang] = {g: log((n + 1) / total) for g, n in grams.items()}
+            self.floor[lang] = log(1 / total)
+
+    def scores(self, tokens: list[str]) -> dict[str, float]:
+        """Mean log-likelihood of a trigram by language; empty without words."""
+        grams = [g for t in tokens if not t.isdigit() for g in (f" {t} "[i : i + 3] for i in range(len(t)))]
+        if not grams:
+            return {}
+        return {lang: sum(map(lambda g, at=logs.get, f=self.floor[lang]: at(g, f), grams)) / len(grams) for lang, logs in self.logs.items()}
+
+
+def fit_languages(texts: DataFrame, lang: str = "lang", key: str = "doc_id") -> dict[str, dict[str, int]]:
+    """Profiles {language: {trigram: how often}} of (key, text, lang), fitted on about FIT_TEXTS texts of each language.
+
+    The language is the label's first letters, trimmed and lower-cased. Texts are drawn by a
+    hash of their key, so the same ones are drawn on any cluster. Null texts and labels are
+    left out; at most MOST_LANGUAGES languages, the most frequent ones, have profiles.
+    """
+    rows = texts.where("text is not null").select(F.regexp_extract(F.lower(F.trim(F.col(lang))), "^[a-z]{2,3}", 0).alias("lang"), F.col(key).alias("key"), "text").where("lang <> ''")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect() if r["count"] >= LEAST_TEXTS}
+    if not sizes:
+        return {}
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, FIT_TEXTS / n))])
+    drawn = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000)
+    words = drawn.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("w")).where("w <> '' and length(w) <= 50")
+    grams = words.groupBy("lang", "w").agg(F.count("*").alias("n")).select("lang", "n", F.explode(F.expr("transform(sequence(1, length(w)), i -> substr(concat(' ', w, ' '), i, 3))")).alias("g"))
+    counts = grams.groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    kept = counts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))).where(F.col("nth") <= PROFILE)
+    out: dict[str, dict[str, int]] = {}
+    for r in kept.select("lang", "g", "n").collect():
+        out.setdefault(r["lang"], {})[r["g"]] = r["n"]
+    return out
 
 
 def lcs_table(a: str | list, b: str | list) -> list[int]:
@@ -215,16 +239,33 @@ def is_copy(prompt: list[str], answer: list[str]) -> bool:
     return False
 
 
-def stops_early(prompt: list[str], answer: list[str], known=None) -> bool:
+def alignment(prompt: list[str], answer: list[str]) -> list[int]:
+    """For every beginning of the prompt, in letters, how many letters of the answer are aligned with it.
+
+    Aligned without blanks, so joined or split words don't count; texts of more than BY_WORDS
+    letters are aligned by whole words.
+    """
+    p, a = "".join(prompt), "".join(answer)
+    if len(p) <= BY_WORDS and len(a) <= BY_WORDS:
+        return lcs_table(a, p)
+    # letters of the words that are aligned, spread over the letters of the prompt's words
+    mean, table = len(a) / len(answer), [0]
+    words_ = lcs_table(answer, prompt)
+    for w, before, now in zip(prompt, words_, words_[1:]):
+        table += [round(mean * (before + (now - before) * k / len(w))) for k in range(1, len(w) + 1)]
+    return table
+
+
+def stops_early(prompt: list[str], answer: list[str], known=None, table: list[int] | None = None) -> bool:
     """The answer follows the prompt and ends before it.
 
-    Aligned without blanks, so joined or split words don't count: the first place in the
-    prompt at which the alignment has all it ever gets is where the answer ends.
+    The first place in the prompt at which the alignment has all it ever gets is where the
+    answer ends. table: the result of ``alignment``, if it is at hand.
     """
     p, a = "".join(prompt), "".join(answer)
     if not a or not p or answer == prompt:
         return False
-    table = lcs_table(a, p)
+    table = table or alignment(prompt, answer)
     if table[-1] < 0.7 * len(a) or table[-1] < len(a) - max(6, 0.25 * len(a)):
         return False
     end = table.index(table[-1])
@@ -250,8 +291,8 @@ def stops_early(prompt: list[str], answer: list[str], known=None) -> bool:
     return left >= 3 and not last == prompt[-1]
 
 
-def defect(prompt: str | None, answer: str | None, errors: bool | None = True, known=None) -> str | None:
-    """empty, truncated, refusal, copy, other_language or null. errors: whether the prompt holds anything to correct."""
+def defect(prompt: str | None, answer: str | None, known=None, languages: Languages | None = None) -> str | None:
+    """empty, truncated, refusal, copy, other_language or null; without ``languages`` no answer is in another language."""
     visible = _unseen.sub("", answer or "").strip()
     a = words(answer)
     if not a or visible.lower().strip(" .…-_*\"'«»()[]") in FILLERS or " ".join(a) in FILLERS:
@@ -260,27 +301,18 @@ def defect(prompt: str | None, answer: str | None, errors: bool | None = True, k
     if not p:
         return None
     if is_copy(p, a):
-        return "copy" if errors is not False else None
-    pc, ac = "".join(p), "".join(a)
-    common = lcs_table(ac, pc)[-1]
-    near = common / len(ac)
+        return "copy"
+    table = alignment(p, a)
+    near = table[-1] / sum(map(len, a))
     if near < 0.75 and (refuses(a) or refuses_nearly(a, known)):
         return "refusal"
-    if near < 0.8 and len(a) >= 3:
-        lang_p, lead_p = language(p, prompt or "")
-        lang_a, lead_a = language(a, answer or "")
-        if lang_a and lang_p and lang_a != lang_p and lead_a > 0.08:
+    if near < 0.8 and len(a) >= 3 and languages is not None:
+        ours, theirs = languages.scores(p), languages.scores(a)
+        if ours and theirs and max(theirs.values()) - theirs[max(ours, key=lambda x: (ours[x], x))] > LEAD:
             return "other_language"
     if refuses(a) and near < 0.85 and not refuses(p):
         return "refusal"
-    return "truncated" if stops_early(p, a, known) else None
-
-
-def _aligned(prompt: list[str], answer: list[str]) -> list[tuple[str, bool]]:
-    """The prompt's words with whether the answer changes them, where both align one to one."""
-    if len(prompt) != len(answer) or lcs_table(prompt, answer)[-1] < 0.5 * len(prompt):
-        return []
-    return [(p, p != a) for p, a in zip(prompt, answer)]
+    return "truncated" if stops_early(p, a, known, table) else None
 
 
 def _near(a: str, b: str) -> bool:
@@ -302,74 +334,20 @@ def pairs(history: DataFrame, requests: DataFrame) -> DataFrame:
     return old.unionByName(new).dropDuplicates(["history_id"])
 
 
-def word_changes(rows: DataFrame) -> DataFrame:
-    """(word, kept, changed): how often aligned answers keep and change each word of the prompts."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            total: dict[str, list[int]] = {}
-            for prompt, answer in zip(b["prompt"], b["answer"]):
-                p, a = words(prompt), words(answer)
-                if p != a:
-                    for w, changed in _aligned(p, a):
-                        total.setdefault(w, [0, 0])[changed] += 1
-            yield pd.DataFrame([(w, k, c) for w, (k, c) in total.items()], columns=["word", "kept", "changed"])
-
-    return rows.mapInPandas(count, "word string, kept long, changed long").groupBy("word").agg(F.sum("kept").alias("kept"), F.sum("changed").alias("changed"))
-
-
-def defects(rows: DataFrame, lexicon: list[str]) -> DataFrame:
+def defects(rows: DataFrame, lexicon: list[str], profiles: dict[str, dict[str, int]]) -> DataFrame:
     """(history_id, defect) of the defective pairs among (history_id, prompt, answer).
 
-    lexicon: the correct words, of a size that may go to every task. A pair has at most one
-    defect; a null or empty prompt can only have an empty answer as its defect. A copy of a
-    prompt in which nothing needs correction is no defect; a prompt needs one if it holds a
-    word that the corpus changes more often than it keeps, an unknown word one edit away
-    from a word of the lexicon, or a word twice in a row.
+    lexicon: the correct words; profiles: the result of ``fit_languages``; both are of a size that
+    may go to every task. A pair has at most one defect; a null or empty prompt can only
+    have an empty answer as its defect. Pairs are judged one by one, so any number of equal
+    ones is no burden.
     """
     lex = frozenset(w.lower() for w in lexicon if w)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        languages = Languages(profiles)
         for b in batches:
-            found = [defect(p, a, True, lex.__contains__) for p, a in zip(b["prompt"], b["answer"])]
-            out = b[["history_id"]].assign(defect=found, words=[words(p) if f == "copy" else None for p, f in zip(b["prompt"], found)])
+            out = b[["history_id"]].assign(defect=[defect(p, a, lex.__contains__, languages) for p, a in zip(b["prompt"], b["answer"])])
             yield out[out["defect"].notna()]
 
-    judged = durable(rows.mapInPandas(judge, "history_id long, defect string, words array<string>"))
-    sure = judged.where("defect <> 'copy'").select("history_id", "defect")
-    copies = judged.where("defect = 'copy'")
-    asked = copies.select("history_id", F.explode("words").alias("word"))
-    counts = word_changes(rows)
-    repeated = copies.where(F.exists(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, 1 << 30).alias("b")), lambda x: x["a"] == x["b"])).select("history_id", "defect")
-    evidence = asked.join(counts, "word", "left").groupBy("history_id").agg(F.collect_list(F.struct("word", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("changed", F.lit(0)).alias("changed"))).alias("e"))
-
-    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            wrong = [any(_wrong(x["word"], x["kept"], x["changed"], lex) for x in e) for e in b["e"]]
-            yield b.loc[wrong, ["history_id"]].assign(defect="copy")
-
-    return sure.unionByName(repeated.unionByName(evidence.mapInPandas(needed, "history_id long, defect string")).distinct())
-
-
-def _wrong(word: str, kept: int, changed: int, lex: frozenset) -> bool:
-    if kept + changed >= 2:
-        return changed > kept
-    if word in lex or word.isdigit():
-        return False
-    if changed:
-        return True
-    return any(v in lex for v in _edits(word))
-
-
-def _edits(w: str) -> Iterator[str]:
-    """Every string one edit away."""
-    for i in range(len(w) + 1):
-        head, tail = w[:i], w[i:]
-        if tail:
-            yield head + tail[1:]
-        if len(tail) > 1:
-            yield head + tail[1] + tail[0] + tail[2:]
-        for c in "abcdefghijklmnñopqrstuvwxyzáéíóúü":
-            yield head + c + tail
-            if tail:
-                yield head + c + tail[1:]
+    return rows.mapInPandas(judge, "history_id long, defect string")
