@@ -70,7 +70,9 @@ def test_metrics(spark):
     r = metrics.evaluate(df).first()
     assert (r.wer, r.cer, r.improvement_ratio) == (round(1 / 3, 6), 0.1, 0.5)
     assert tuple(metrics.evaluate(df.limit(0)).first()) == (None, None, 0.0)
-    assert metrics.word_distance("a b c".split(), "a c d".split()) == 2
+    pairs = [("a b c", "a c d", 2), ("", "a b", 2), ("a", "", 1), ("", "", 0), ("kitten sat here", "sitting sat here now", 2)]
+    words = spark.createDataFrame(pairs, "a string, b string, n int").selectExpr("filter(split(a, ' '), x -> x <> '') AS a", "filter(split(b, ' '), x -> x <> '') AS b", "n")
+    assert all(r.n == r.d for r in words.select("n", metrics.word_distance(F.col("a"), F.col("b")).alias("d")).collect())
 
 
 def test_bodies(spark):

@@ -1,8 +1,10 @@
 """The layered correction of every token.
 
 Tokens are decided one by one from the original text alone, so a text is exploded into
-tokens, each token gets the candidates of all layers by joins, one ordered choice picks the
-first layer that holds, and the tokens are put together again by position.
+tokens and put together again by position. What a token's layer depends on is its lower-cased
+word and its user, so lexicon, sounds and fuzzy terms are looked up once for every distinct
+word, users' own corrections once for every distinct user and word, and tokens meet the
+outcome in a single join; only the judge looks at neighbours, once for every distinct context.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trazo.functions import text as X
 from trazo.operators import fuzzy, indexes
+from trazo.session import durable
 from trazo.sources.tables import small
 
 #: Severe errors and what they stand for.
@@ -28,7 +31,7 @@ HOMOPHONES = {
     "olla": ["olla", "hola"], "a": ["a", "ha"], "e": ["e", "he"],
 }
 
-#: A judge takes (key columns, left, right, cands array) rows and adds ``chosen``.
+#: A judge takes rows with left, right and cands (an array) and adds ``chosen``.
 Judge = Callable[[DataFrame], DataFrame]
 
 
@@ -45,15 +48,14 @@ def bigram_judge(bigrams: DataFrame) -> Judge:
     """
 
     def judge(rows: DataFrame) -> DataFrame:
-        one = rows.where("size(cands) = 1").withColumn("chosen", F.col("cands")[0])
-        many = rows.where("size(cands) > 1")
-        asked = many.select("left", "right", "cands").distinct()
+        asked = rows.where("size(cands) > 1").select("left", "right", "cands").distinct()
         each = asked.select("left", "right", "cands", F.posexplode("cands").alias("i", "cand"))
         pairs = each.join(bigrams.select(F.col("a").alias("left"), F.col("b").alias("cand"), F.col("n").alias("n_left")), ["left", "cand"], "left")
         pairs = pairs.join(bigrams.select(F.col("a").alias("cand"), F.col("b").alias("right"), F.col("n").alias("n_right")), ["cand", "right"], "left")
         score = F.log1p(F.coalesce("n_left", F.lit(0))) + F.log1p(F.coalesce("n_right", F.lit(0)))
         best = pairs.withColumn("score", F.round(score, 9)).groupBy("left", "right", "cands").agg(F.max_by("cand", F.struct(F.col("score"), -F.col("i"))).alias("chosen"))
-        return one.unionByName(many.join(best, ["left", "right", "cands"], "left"))
+        # a single candidate meets no context and stays
+        return rows.join(best, ["left", "right", "cands"], "left").withColumn("chosen", F.coalesce("chosen", F.col("cands")[0]))
 
     return judge
 
@@ -83,56 +85,73 @@ def _map(values: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*flat), key)
 
 
-def layers(tokens: DataFrame, lex: DataFrame, vocabulary: DataFrame, judge: Judge = first_candidate, fuzzy_layer: bool = True, protect_numeric: bool = False) -> DataFrame:
-    """Adds layer (H0 to H8) and best to the rows of ``explode``.
-
-    lex: (term, rank, freq); vocabulary: (user_id, wrong, right), a word once for a user.
-    Without the fuzzy layer its tokens only get their accent back. protect_numeric leaves
-    numbers alone, which the faithful default doesn't.
-    """
-    sounds, accents = indexes.phonetic_index(lex), indexes.accent_index(lex)
-    terms = lex.select("term")
-    rows = tokens
-    rows = rows.join(small(terms.withColumn("valid", F.lit(True))), F.col("lower") == F.col("term"), "left").drop("term")
+def _facts(words: DataFrame, lex: DataFrame) -> DataFrame:
+    """(lower, short) with valid, folded, heard, manual, homophones, and ``plain``: the layer of a user without corrections."""
+    terms, sounds = lex.select("term"), indexes.phonetic_index(lex)
+    rows = words.join(small(terms.withColumn("valid", F.lit(True))), F.col("lower") == F.col("term"), "left").drop("term")
     rows = rows.join(small(terms.select(F.col("term").alias("folded"))), X.visual_fold(F.col("lower")) == F.col("folded"), "left")
     rows = rows.join(small(sounds.withColumnsRenamed({"sound": "_s", "term": "heard"})), X.phonetic_key(F.col("lower")) == F.col("_s"), "left").drop("_s")
-    rows = rows.join(vocabulary.select(F.col("user_id").alias("_u"), F.col("wrong").alias("_w"), F.col("right").alias("learnt")), (F.col("user_id") == F.col("_u")) & (F.col("lower") == F.col("_w")), "left").drop("_u", "_w")
     rows = rows.withColumn("manual", _map(MANUAL, F.col("lower"))).withColumn("homophones", _map(HOMOPHONES, F.col("lower")))
-    layer = (
-        F.when(F.col("core") == "", "H0")
+    plain = (
+        F.when(F.col("lower") == "", "H0")
         .when(F.col("manual").isNotNull(), "H1")
         .when(F.col("valid").isNull() & F.col("folded").isNotNull(), "H2")
-        .when(F.col("learnt").isNotNull(), "H3")
         .when(F.col("homophones").isNotNull(), "H4")
-        .when(F.length("core") <= 2, "H5")
+        .when(F.col("short"), "H5")
         .when(F.col("valid").isNotNull(), "H6")
         .when(F.col("heard").isNotNull() & (F.col("heard") != F.col("lower")), "H7")
         .otherwise("H8")
     )
-    rows = rows.withColumn("layer", layer)
+    return rows.select("lower", "short", plain.alias("plain"), "manual", "folded", "homophones", "heard")
+
+
+def layers(tokens: DataFrame, lex: DataFrame, vocabulary: DataFrame, judge: Judge = first_candidate, fuzzy_layer: bool = True, protect_numeric: bool = False) -> DataFrame:
+    """Adds layer (H0 to H8) and best to the rows of ``explode``.
+
+    lex: (term, rank, freq); vocabulary: (user_id, wrong, right), a word once for a user.
+    Without the fuzzy layer its tokens only get their accent back. protect_numeric leaves
+    numbers alone, which the faithful default doesn't. A null user has no corrections.
+    ``tokens`` is read twice, so it should be cheap to read.
+    """
+    lex = durable(lex.select("term", "rank", "freq"))
+    keyed = tokens.withColumn("short", F.length("core") <= 2)
+    own = keyed.groupBy("user_id", "lower", "short").agg(F.count("*").alias("_n")).drop("_n")
+    words = _facts(own.select("lower", "short").distinct(), lex)
     if fuzzy_layer:
-        unknown = F.col("layer") == "H8"
+        words = durable(words)
+        unknown = F.col("plain") == "H8"
         if protect_numeric:
             unknown &= ~F.col("lower").rlike(r"^\p{Nd}+$")
-        near = fuzzy.closest(rows.where(unknown).select(F.col("lower").alias("word")), lex)
+        near = fuzzy.closest(words.where(unknown).select(F.col("lower").alias("word")), lex)
         near = near.select(F.col("word").alias("_w"), F.transform("suggestions", lambda s: s["term"]).alias("near"))
-        # only unknown words meet the fuzzy terms; the others would all share the null key
-        asked = rows.where(unknown).join(near, F.col("lower") == F.col("_w"), "left").drop("_w")
-        rows = rows.where(~unknown).withColumn("near", F.lit(None).cast("array<string>")).unionByName(asked)
+        words = words.join(near, (F.col("lower") == F.col("_w")) & unknown, "left").drop("_w")
+    else:
+        words = words.withColumn("near", F.lit(None).cast("array<string>"))
+    learnt = vocabulary.select(F.col("user_id").alias("_u"), F.col("wrong").alias("_w"), F.col("right").alias("learnt"))
+    own = own.join(learnt, (F.col("user_id") == F.col("_u")) & (F.col("lower") == F.col("_w")), "left").drop("_u", "_w").join(words, ["lower", "short"])
+    layer = F.when(F.col("plain").isin("H0", "H1", "H2") | F.col("learnt").isNull(), F.col("plain")).otherwise("H3")
+    own = own.withColumn("layer", layer).select(
+        F.col("user_id").alias("_u"), F.col("lower").alias("_l"), F.col("short").alias("_s"), "layer",
+        F.when(F.col("layer") == "H1", F.col("manual")).when(F.col("layer") == "H2", F.col("folded")).when(F.col("layer") == "H3", F.col("learnt")).when(F.col("layer") == "H7", F.col("heard")).alias("given"),
+        F.when(F.col("layer") == "H4", F.col("homophones")).when(F.col("layer") == "H8", F.col("near")).alias("cands"),
+    )
+    rows = keyed.join(own, F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("lower") == F.col("_l")) & (F.col("short") == F.col("_s"))).drop("_u", "_l", "_s")
+    if judge is first_candidate:
+        rows = rows.withColumn("chosen", F.col("cands")[0])
     else:
-        rows = rows.withColumn("near", F.lit(None).cast("array<string>"))
-    rows = rows.withColumn("cands", F.when(F.col("layer") == "H4", F.col("homophones")).when(F.col("layer") == "H8", F.col("near")))
-    settled = rows.where("cands is null").withColumn("chosen", F.lit(None).cast("string"))
-    rows = settled.unionByName(judge(rows.where("cands is not null")))
+        rows = durable(rows)
+        contexts = judge(rows.where("cands is not null").select("left", "right", "cands").distinct())
+        contexts = contexts.select(F.col("left").alias("_left"), F.col("right").alias("_right"), F.col("cands").alias("_cands"), "chosen")
+        # only tokens with candidates meet the contexts; the others would all share the null key
+        asked = rows.where("cands is not null").join(contexts, (F.col("left") == F.col("_left")) & (F.col("right") == F.col("_right")) & (F.col("cands") == F.col("_cands")), "left")
+        rows = rows.where("cands is null").withColumn("chosen", F.lit(None).cast("string")).unionByName(asked.drop("_left", "_right", "_cands"))
     # the word whose accent comes back, by layer
     said = F.when(F.col("layer") == "H4", X.match_case(F.col("core"), F.col("chosen")))
-    said = said.when(F.col("layer") == "H7", X.match_case(F.col("core"), F.col("heard"))).when((F.col("layer") == "H8") & F.col("chosen").isNotNull(), F.col("chosen")).otherwise(F.col("core"))
-    rows = indexes.restore_accent(rows.withColumn("said", said), accents, "said", "accented")
+    said = said.when(F.col("layer") == "H7", X.match_case(F.col("core"), F.col("given"))).when((F.col("layer") == "H8") & F.col("chosen").isNotNull(), F.col("chosen")).otherwise(F.col("core"))
+    rows = indexes.restore_accent(rows.withColumn("said", said), indexes.accent_index(lex), "said", "accented")
     best = (
         F.when(F.col("layer") == "H0", "")
-        .when(F.col("layer") == "H1", X.match_case(F.col("core"), F.col("manual")))
-        .when(F.col("layer") == "H2", X.match_case(F.col("core"), F.col("folded")))
-        .when(F.col("layer") == "H3", X.match_case(F.col("core"), F.col("learnt")))
+        .when(F.col("layer").isin("H1", "H2", "H3"), X.match_case(F.col("core"), F.col("given")))
         .when(F.col("layer") == "H5", F.col("core"))
         .when((F.col("layer") == "H8") & F.col("chosen").isNotNull(), X.match_case(F.col("core"), F.col("accented")))
         .otherwise(F.col("accented"))
@@ -149,8 +168,6 @@ def reassemble(decided: DataFrame) -> DataFrame:
 
 def correct(requests: DataFrame, lex: DataFrame, vocabulary: DataFrame, judge: Judge = first_candidate, **options) -> DataFrame:
     """(req_id, user_id, input, corrected, was_modified) of every request; req_id is unique. A null or blank text is corrected to ''."""
-    from trazo.session import durable
-
     decided = reassemble(layers(durable(explode(requests)), lex, vocabulary, judge, **options))
     out = requests.select("req_id", "user_id", F.col("text").alias("input")).join(decided, "req_id", "left")
     out = out.withColumn("corrected", F.coalesce("corrected", F.lit("")))

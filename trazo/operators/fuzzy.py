@@ -14,9 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trazo.session import durable
+
 MOST_DISTANCE, PREFIX, TOP = 3, 7, 3
 #: A lexicon up to this many terms is indexed in every task; a larger one is joined by keys.
 LOCAL_TERMS = 200_000
+#: Keys of at most one character are shared by all short words; they are spread over so many salts.
+SALTS = 32
 
 
 def osa(a: str, b: str, most: int) -> int:
@@ -107,7 +111,12 @@ def _local(distinct: DataFrame, lex: DataFrame, top: int) -> DataFrame:
 
 
 def by_keys(distinct: DataFrame, lex: DataFrame, top: int = TOP) -> DataFrame:
-    """The same by equi-joins on deletion keys, for a lexicon of any size: only words without a term at a distance go on to the next."""
+    """The same by equi-joins on deletion keys, for a lexicon of any size: only words without a term at a distance go on to the next.
+
+    What is found and what is left at each distance is kept, so no distance repeats an
+    earlier one. Pairs are held against the native edit distance, which is at most twice
+    the alignment's, before they are aligned.
+    """
 
     def keyed(df: DataFrame, k: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,14 +136,17 @@ def by_keys(distinct: DataFrame, lex: DataFrame, top: int = TOP) -> DataFrame:
         return pairs.mapInPandas(run, "word string, term string, freq long, distance int")
 
     lex_w = lex.select(F.col("term").alias("w"), F.col("freq").cast("long").alias("freq"))
-    left = distinct.select(F.col("word").alias("w"))
-    exact = left.join(lex_w, "w").select(F.col("w").alias("word"), F.col("w").alias("term"), "freq", F.lit(0).alias("distance"))
-    found, rest = exact, left.join(lex_w, "w", "left_anti")
+    rest = durable(distinct.select(F.col("word").alias("w")))
+    found = durable(rest.join(lex_w, "w").select(F.col("w").alias("word"), F.col("w").alias("term"), "freq", F.lit(0).alias("distance")))
+    hits, hot = found, F.length("key") <= 1
     for k in range(1, MOST_DISTANCE + 1):
-        pairs = keyed(rest, k).join(keyed(lex_w, k).withColumnRenamed("w", "term"), "key").select(F.col("w").alias("word"), "term", "freq").distinct()
-        hits = verified(pairs, k)
+        rest = durable(rest.join(hits.select(F.col("word").alias("w")).distinct(), "w", "left_anti"))
+        words = keyed(rest, k).select(F.col("w").alias("word"), "key", F.when(hot, F.pmod(F.xxhash64("w"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+        terms = keyed(lex_w, k).select(F.col("w").alias("term"), "freq", "key", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+        near = (F.abs(F.length("word") - F.length("term")) <= k) & (F.levenshtein("word", "term") <= 2 * k)
+        pairs = words.join(terms, ["key", "salt"]).where(near).select("word", "term", "freq").distinct()
+        hits = durable(verified(pairs, k))
         found = found.unionByName(hits)
-        rest = rest.join(hits.select(F.col("word").alias("w")).distinct(), "w", "left_anti")
     w = Window.partitionBy("word").orderBy("distance", F.desc("freq"), "term")
     best = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top)
     listed = best.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("n", "distance", "freq", "term"))).alias("l"))
