@@ -81,6 +81,10 @@ def test_bodies(spark):
     got = [tuple(r) for r in df.select("i", T.parse_correct(F.col("b")).alias("r")).orderBy("i").select("r.text", "r.user_id", T.empty_text(F.col("r.text"))).collect()]
     err = '{"error":"Texto vacío"}'
     assert got == [("hola", "u", None), ("x", "default_user", None), ("", "default_user", err), ("", "default_user", err), ("", "default_user", err), ("", "default_user", err)]
+    nulls = spark.createDataFrame([('{"text":null,"input":"x"}',), ('{"user_id":null,"input":"x"}',), ('{"text":7,"user_id":false}',), ('[1]',)], "b string").select(T.parse_correct(F.col("b")).alias("r"))
+    assert [tuple(r.r) for r in nulls.collect()] == [(None, "default_user"), ("x", None), ("7", "false"), ("", "default_user")]
+    spelled = spark.createDataFrame([('{"original":null,"user_id":null,"accepted":null}',)], "b string").select(T.parse_feedback(F.col("b")).alias("r")).first().r
+    assert tuple(spelled) == (None, None, "", False)
     fb = spark.createDataFrame([('{"original":"a","corrected":"b","accepted":true}',), ('{"accepted":"Yes"}',), ("{}",)], "b string")
     assert [r.f.accepted for r in fb.select(T.parse_feedback(F.col("b")).alias("f")).collect()] == [True, True, False]
 
@@ -171,3 +175,25 @@ def test_only_small_inputs_are_spread(spark, monkeypatch):
     assert session.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(session, "CORE_BYTES", 1)
     assert session.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 1
+
+
+def test_pairs_csv_keeps_blanks_and_line_breaks(spark, tmp_path):
+    rows = [("\t", " a "), ("null", "x\ny"), ('say "hi", you', "\\"), (None, "")]
+    T.write_pairs_csv(spark.createDataFrame(rows, "erronea string, corregida string"), str(tmp_path / "csv"))
+    assert sorted(tuple(r) for r in T.read_pairs_csv(spark, str(tmp_path / "csv")).collect()) == sorted((a or "", b) for a, b in rows)
+
+
+def test_frequency_file_round_trip(spark, tmp_path):
+    terms = spark.createDataFrame([(2, " De ", 5), (1, "que", 9), (3, "", 1), (4, None, 1), (5, "que", 2)], "rank int, term string, freq bigint")
+    T.write_frequency_file(terms, str(tmp_path / "f"))
+    assert [tuple(r) for r in T.read_frequency_file(spark, str(tmp_path / "f")).orderBy("rank").collect()] == [(1, "que", 9), (2, "de", 5), (3, "que", 2)]
+
+
+def test_tokenised_pairs(spark):
+    from trazo.operators import tokenised as K
+
+    rows = [("el gato bio", "el gato vio"), ("", None), ("palabra " * 300, "corto")]
+    got = K.texts(K.dataset(spark.createDataFrame(rows, "erronea string, corregida string").coalesce(1))).collect()
+    assert all(len(r.input_ids) == len(r.attention_mask) == len(r.labels) == 128 for r in got)
+    assert [r.text for r in got] == ["el gato vio", "", "corto"] and got[1].input_ids[:3] == [1, 2, 0] and sum(got[2].attention_mask) == 128
+    assert got[0].labels.count(-100) == 128 - sum(1 for x in got[0].labels if x != -100) and K.decode(got[0].input_ids) == "el gato bio"

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: white space as Python's str.split sees it.
 WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: Fixed value: leading non-word, core, trailing non-word characters of a token.
-AFFIX = r"(?s)^([^\p{L}\p{N}_]*)(.*?)([^\p{L}\p{N}_]*)$"
+#: Fixed value: a character outside words.
+_OUTER = r"[^\p{L}\p{N}_]"
 TITLE = r"^[^\p{Lu}\p{Ll}]*(?:\p{Lu}\p{Ll}*(?:[^\p{Lu}\p{Ll}]+|$))+$"
 
 
@@ -23,15 +23,18 @@ def strip(text: Column) -> Column:
 
 
 def prefix(token: Column) -> Column:
-    return F.regexp_extract(token, AFFIX, 1)
+    """What stands before the first letter, number or underscore; the whole token if it has none."""
+    return F.regexp_extract(token, f"^{_OUTER}*+", 0)
 
 
 def core(token: Column) -> Column:
-    return F.regexp_extract(token, AFFIX, 2)
+    """The token without its prefix and suffix."""
+    return F.regexp_replace(token, f"^{_OUTER}++|{_OUTER}++$", "")
 
 
 def suffix(token: Column) -> Column:
-    return F.regexp_extract(token, AFFIX, 3)
+    """What stands behind the last letter, number or underscore; a token that has none is all prefix."""
+    return F.when(F.regexp_like(token, F.lit(f"^{_OUTER}*+$")), "").otherwise(F.regexp_extract(token, f"(?<!{_OUTER}){_OUTER}*+$", 0))
 
 
 def remove_accents(word: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trazo.functions import text as X
-from trazo.operators import cascade, errors, fuzzy, indexes, metrics, noise
-from trazo.session import spread
+from trazo.operators import cascade, errors, fuzzy, indexes, metrics, noise, tokenised
+from trazo.session import folder, spread
 from trazo.sources import history as H
 from trazo.sources import tables as T
 
@@ -202,17 +202,52 @@ def evaluate_shallow(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def request_parse(spark: SparkSession, sf: str) -> DataFrame:
-    body = F.to_json(F.struct("text", "user_id"))
+    """Bodies of three kinds, by the request's number: text and user as they are, nulls spelled out; input without a missing user; a null text before an input."""
+    kind, options = F.pmod("req_id", F.lit(3)), {"ignoreNullFields": "false"}
+    body = F.when(kind == 0, F.to_json(F.struct("text", "user_id"), options)).when(kind == 1, F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("input"), "user_id")))
+    body = body.otherwise(F.to_json(F.struct(F.lit(None).cast("string").alias("text"), F.col("text").alias("input"), "user_id"), options))
     rows = T.once(_t(spark, sf, "requests"), "req_id").select("req_id", T.parse_correct(body).alias("r"))
     return rows.select("req_id", "r.text", "r.user_id", T.empty_text(F.col("r.text")).alias("error"))
 
 
 def feedback_parse(spark: SparkSession, sf: str) -> DataFrame:
-    body = F.to_json(F.struct("user_id", "original", "corrected", "accepted"))
+    body = F.to_json(F.struct("user_id", "original", "corrected", "accepted"), {"ignoreNullFields": "false"})
     rows = T.once(_t(spark, sf, "feedback_requests"), "fb_req_id").select("fb_req_id", T.parse_feedback(body).alias("r"))
     return rows.select("fb_req_id", "r.user_id", "r.original", "r.corrected", "r.accepted")
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def frequency_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The lexicon written as a frequency file and read back, ranks from the order of its lines."""
+    path = _fresh(spark, "frequencies")
+    T.write_frequency_file(_t(spark, sf, "lexicon"), path)
+    return T.read_frequency_file(spark, path)
+
+
+def parallel_side(spark: SparkSession, sf: str) -> DataFrame:
+    """The Spanish side of a corpus of nested records, one field for each language."""
+    lang = F.substring(F.lower(F.trim("lang")), 1, 2)
+    sides = [F.when(lang == x, F.col("text")).alias(x) for x in ("es", "en", "fr", "de", "pt")]
+    return T.parallel_sentences(_t(spark, sf, "documents").select(F.struct(*sides).alias("translation"))).where("text is not null")
+
+
+def pairs_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The users' pairs written as CSV and read back."""
+    path = _fresh(spark, "pairs")
+    T.write_pairs_csv(_history(spark, sf), path)
+    return T.read_pairs_csv(spark, path)
+
+
+def tokenised_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The users' pairs as a tokenised training set."""
+    return tokenised.dataset(_history(spark, sf).where("erronea is not null and corregida is not null"))
+
+
 def response_json(spark: SparkSession, sf: str) -> DataFrame:
     """Responses read back: the number of details and the first one, next to both texts."""
     fb = T.once(_t(spark, sf, "feedback"), "feedback_id").where("original_text is not null and corrected_text is not null")
@@ -225,12 +260,9 @@ def response_json(spark: SparkSession, sf: str) -> DataFrame:
 
 def feedback_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The feedback requests taken through the stream into a fresh store, and the store's pairs."""
-    import uuid
-
-    from trazo.session import folder
     from trazo.streaming import feedback as S
 
-    base = f"{folder(spark)}/feedback-{uuid.uuid4().hex}"
+    base = _fresh(spark, "feedback")
     store = H.HistoryStore(spark, f"{base}/history")
     source = f"{sf}/feedback_requests.parquet"
     schema = spark.read.parquet(source).schema
@@ -250,4 +282,5 @@ QUERIES = {f.__name__: f for f in (
     visual_fold, masked_context, corpus_bigrams, homophone_judge, fuzzy_top3, correct_layers, layer_histogram, correct_shallow, correct_text,
     error_details, error_histogram, feedback_status, history_append, user_vocabulary, user_pairs, user_training_eligible, sentence_pool,
     noise_pairs, fallback_noise, evaluate, evaluate_shallow, request_parse, feedback_parse, response_json, feedback_stream,
+    frequency_file, parallel_side, pairs_csv, tokenised_pairs,
 )}

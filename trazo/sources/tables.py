@@ -42,32 +42,47 @@ def parallel_sentences(df: DataFrame, column: str = "translation.es") -> DataFra
     return df.select(F.col(column).alias("text"))
 
 
+def write_frequency_file(terms: DataFrame, path: str) -> None:
+    """(rank, term, freq) as one text file with a term and its count a line, in the order of rank; blank terms are left out."""
+    rows = terms.where(F.coalesce(X.strip(F.col("term")), F.lit("")) != "").select("rank", F.concat_ws(" ", X.strip(F.col("term")), F.col("freq").cast("string")).alias("value"))
+    rows.coalesce(1).sortWithinPartitions("rank").select("value").write.mode("overwrite").text(path)
+
+
+#: Blanks at the ends of a text are part of it.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_pairs_csv(pairs: DataFrame, path: str) -> None:
-    """Two columns with a header."""
-    pairs.select("erronea", "corregida").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Two columns with a header; a null becomes an empty text."""
+    pairs.select(F.coalesce("erronea", F.lit("")).alias("erronea"), F.coalesce("corregida", F.lit("")).alias("corregida")).write.mode("overwrite").options(**_CSV).csv(path)
 
 
 def read_pairs_csv(spark: SparkSession, path: str) -> DataFrame:
     """Pairs as they were written; texts such as null stay texts."""
     schema = T.StructType([T.StructField("erronea", T.StringType()), T.StructField("corregida", T.StringType())])
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "\u0000").schema(schema).csv(path)
+    return spark.read.options(**_CSV).option("multiLine", True).option("nullValue", "\u0000").option("emptyValue", "").schema(schema).csv(path)
 
 
 # -- request and response bodies -----------------------------------------------------
 
 
+def _key(body: Column, key: str, default: Column) -> Column:
+    """The value of a body's key, null where it holds null; the default only where the key is missing or the body is no object."""
+    values = F.from_json(body, "map<string,string>")
+    return F.when(F.coalesce(F.map_contains_key(values, key), F.lit(False)), F.try_element_at(values, F.lit(key))).otherwise(default)
+
+
 def parse_correct(body: Column) -> Column:
-    """struct(text, user_id) of a correction request's JSON: text if the key is there, else input, else empty."""
-    text = F.coalesce(F.get_json_object(body, "$.text"), F.get_json_object(body, "$.input"), F.lit(""))
-    return F.struct(text.alias("text"), F.coalesce(F.get_json_object(body, "$.user_id"), F.lit("default_user")).alias("user_id"))
+    """struct(text, user_id) of a correction request's JSON: text if the key is there, else input, else empty. An explicit null stays null."""
+    text = _key(body, "text", _key(body, "input", F.lit("")))
+    return F.struct(text.alias("text"), _key(body, "user_id", F.lit("default_user")).alias("user_id"))
 
 
 def parse_feedback(body: Column) -> Column:
-    """struct(user_id, original, corrected, accepted) of a feedback request's JSON."""
-    get = lambda k, d: F.coalesce(F.get_json_object(body, f"$.{k}"), F.lit(d))
+    """struct(user_id, original, corrected, accepted) of a feedback request's JSON. An explicit null stays null; accepted is then false."""
     return F.struct(
-        get("user_id", "default_user").alias("user_id"), get("original", "").alias("original"), get("corrected", "").alias("corrected"),
-        X.truthy(F.get_json_object(body, "$.accepted")).alias("accepted"),
+        _key(body, "user_id", F.lit("default_user")).alias("user_id"), _key(body, "original", F.lit("")).alias("original"), _key(body, "corrected", F.lit("")).alias("corrected"),
+        X.truthy(_key(body, "accepted", F.lit("false"))).alias("accepted"),
     )
 
 
