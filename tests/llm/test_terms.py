@@ -60,3 +60,16 @@ def test_marks(spark):
     assert marks["w", "hot"] == "common" and marks["t", "t1"] == "rare"
     plan = terms.frequencies(df, "rec", "pos", {"w": F.col("w")})._jdf.queryExecution().toString()
     assert "rangepartitioning(field" in plan and "Cartesian" not in plan
+
+
+def test_partitions_follow_the_size(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from trazo.llm import terms as T
+
+    spark.range(2000).selectExpr("id AS r", "id % 3 AS p", "concat('w', id % 50) AS w").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plain = {tuple(r) for r in T.frequencies(df, "r", "p", {"w": F.col("w")}).collect()}
+    monkeypatch.setattr(T, "SORT_BYTES", 100)
+    many = T.frequencies(df, "r", "p", {"w": F.col("w")})
+    assert "rangepartitioning" in many._jdf.queryExecution().executedPlan().toString() and {tuple(r) for r in many.collect()} == plain and len(plain) == 50

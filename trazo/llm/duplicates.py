@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from trazo.session import durable
 
-#: A group above this share of all rows is hot; there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 1 / 500
+#: A group above this share of all rows, or above so many rows, is hot; of the latter there is at most one for every HOT_ROWS rows.
+HOT_SHARE, HOT_ROWS = 1 / 500, 1_000_000
 
 
 def normal_leaf(c: Column) -> Column:
@@ -87,7 +87,8 @@ def groups(df: DataFrame, id_col: str, fields: list[str], ordered: bool = False)
 
     Groups are found and confirmed by aggregates that combine before the shuffle, so a
     group may hold any share of the rows. Only the join back of members to groups meets
-    whole groups; hot groups, at most 1 / HOT_SHARE by definition, take a broadcast there.
+    whole groups; hot groups take a broadcast there, of which there are few by definition:
+    at most 1 / HOT_SHARE of up to 500 million rows, and one for every HOT_ROWS rows beyond.
     """
     nodes = _nodes(df, id_col, fields, ordered)
     found = nodes.groupBy("root").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("rows"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("rep < last")
@@ -127,8 +128,8 @@ def copies(members: DataFrame) -> DataFrame:
 
 
 def _join(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
-    """Rows with their group's rep; groups above HOT_SHARE of all rows are broadcast, the others shuffled."""
-    most = max(1000, int(total * HOT_SHARE))
+    """Rows with their group's rep; hot groups are broadcast, the others, of HOT_ROWS rows at most, shuffled."""
+    most = max(1000, min(int(total * HOT_SHARE), HOT_ROWS))
     hot = found.where(F.col("rows") > most).select("root", "rep")
     if hot.isEmpty():
         return rows.join(found.select("root", "rep"), "root").select("id", "rep")

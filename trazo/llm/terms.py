@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 RARE_BELOW = 3
 COMMON_ABOVE = 0.01
+#: Bytes of the record and place columns, for each field, that one partition sorts.
+SORT_BYTES = 32 << 20
 
 
 def trimmed(c: Column) -> Column:
@@ -94,13 +96,18 @@ def frequencies(df: DataFrame, record: str, place: str | None, fields: dict[str,
     fields: the name each value gets and the expression that normalises it. Null and empty
     values and null records don't count. Rows that agree in field, value, record and place
     are one occurrence (a row delivered twice); with a null place each row is one.
-    partitions: of the sort; by default the session's, more if the data ask for it.
+    partitions: of the sort; by default the session's, or one for every SORT_BYTES of the
+    input's estimated size if that is more.
     """
     where = F.col(place).cast("long") if place else F.lit(None).cast("long")
     pairs = F.array(*[F.struct(F.lit(name).alias("field"), c.alias("value")) for name, c in fields.items()])
     rows = df.where(F.col(record).isNotNull()).select(F.col(record).cast("long").alias("rec"), where.alias("place"), F.explode(pairs).alias("p"))
     rows = rows.select("p.field", "p.value", "rec", "place").where("value <> ''")
     keys = ["field", "value", "rec"]
+    if partitions is None:  # the adaptive reader merges small partitions only where no number is given
+        size = int(str(df.select(*{record, place or record})._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        asked = len(fields) * size // SORT_BYTES if size < 1 << 60 else 0  # a frame made on the driver or of an RDD has no estimate
+        partitions = asked if asked > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
     ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     runs = ranged.sortWithinPartitions(*keys, "place").mapInArrow(_scan, "field string, value string, occurrences long, records long")
     return runs.groupBy("field", "value").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
