@@ -169,6 +169,11 @@ def sentence_pool(spark: SparkSession, sf: str) -> DataFrame:
     return noise.sentences(_spanish(spark, sf))
 
 
+def sentence_pool_limited(spark: SparkSession, sf: str) -> DataFrame:
+    """The pool with a limit that small tables reach too."""
+    return noise.sentences(_spanish(spark, sf), 500)
+
+
 def noise_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of every sentence; the service's limit is kept in sentence_pool."""
     return noise.pairs(noise.sentences(_spanish(spark, sf), None))
@@ -282,5 +287,5 @@ QUERIES = {f.__name__: f for f in (
     visual_fold, masked_context, corpus_bigrams, homophone_judge, fuzzy_top3, correct_layers, layer_histogram, correct_shallow, correct_text,
     error_details, error_histogram, feedback_status, history_append, user_vocabulary, user_pairs, user_training_eligible, sentence_pool,
     noise_pairs, fallback_noise, evaluate, evaluate_shallow, request_parse, feedback_parse, response_json, feedback_stream,
-    frequency_file, parallel_side, pairs_csv, tokenised_pairs,
+    frequency_file, parallel_side, pairs_csv, tokenised_pairs, sentence_pool_limited,
 )}

@@ -199,6 +199,7 @@ ORACLE = {
     "user_pairs": f"WITH {_HIST} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY seq, erronea NULLS FIRST, corregida NULLS FIRST) AS nth, erronea, corregida FROM hist",
     "user_training_eligible": f"WITH {_HIST} SELECT user_id, count(*) AS n_pairs FROM hist GROUP BY user_id HAVING count(*) >= 5",
     "sentence_pool": f"WITH {_SENT} SELECT text FROM pool ORDER BY text LIMIT 15000",
+    "sentence_pool_limited": f"WITH {_SENT} SELECT text FROM pool ORDER BY text LIMIT 500",
     "noise_pairs": f"WITH {_SENT}, {_NOISE} SELECT CASE WHEN noisy <> text THEN noisy ELSE replace(translate(text, 'vs', 'bz'), 'h', '') END AS erronea, text AS corregida FROM noisy",
     "fallback_noise": f"WITH {_SENT} SELECT text, replace(translate(text, 'vs', 'bz'), 'h', '') AS noisy FROM pool",
     # the body's key is text, input, or a null text before an input: a key that is there counts, whatever it holds

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,11 +13,17 @@ from pyspark.sql import functions as F
 def folder(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir.
 
-    Only where none is set, as in tests on one machine, a temporary folder is made and set.
+    Only where none is set, as in tests on one machine, a temporary folder is made and set;
+    it goes with the process. What is written into a folder that was set is the owner's to
+    keep or to clear, by spark.cleaner.referenceTracking.cleanCheckpoints for instance.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trazo-"))
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None:
+            own = tempfile.mkdtemp(prefix="trazo-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
