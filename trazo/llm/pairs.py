@@ -233,10 +233,7 @@ def is_copy(prompt: list[str], answer: list[str]) -> bool:
     if times > 1 and over == 0 and answer == prompt * times:
         return True
     # a lead or a tail of a few words around the whole prompt
-    for i in range(rest + 1):
-        if answer[i : i + len(prompt)] == prompt:
-            return rest <= max(6, len(prompt) // 2)
-    return False
+    return rest <= max(6, len(prompt) // 2) and f" {' '.join(prompt)} " in f" {' '.join(answer)} "
 
 
 def alignment(prompt: list[str], answer: list[str]) -> list[int]:
