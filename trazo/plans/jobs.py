@@ -1,4 +1,4 @@
-"""Batch jobs: python -m trazo.plans.jobs pairs|user-pairs|correct --sf_dir DIR --out DIR [--user_id ID]."""
+"""Batch jobs: python -m trazo.plans.jobs pairs|user-pairs|tokens|correct --sf_dir DIR --out DIR [--user_id ID]."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trazo.operators import noise
+from trazo.operators import noise, tokenised
 from trazo.plans import catalog
 from trazo.sources import history as H
 from trazo.sources import tables as T
@@ -31,7 +31,7 @@ def user_pairs(spark: SparkSession, sf: str, user_id: str, least: int = 5) -> Da
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("job", choices=["pairs", "user-pairs", "correct"])
+    p.add_argument("job", choices=["pairs", "user-pairs", "tokens", "correct"])
     p.add_argument("--sf_dir", required=True)
     p.add_argument("--out", required=True)
     p.add_argument("--user_id", default="default_user")
@@ -39,6 +39,8 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     if a.job == "correct":
         catalog.correct_text(spark, a.sf_dir).write.mode("overwrite").parquet(a.out)
+    elif a.job == "tokens":
+        tokenised.dataset(training_pairs(spark, a.sf_dir)).write.mode("overwrite").parquet(a.out)
     else:
         T.write_pairs_csv(training_pairs(spark, a.sf_dir) if a.job == "pairs" else user_pairs(spark, a.sf_dir, a.user_id), a.out)
 
