@@ -45,6 +45,23 @@ def test_store_keeps_odd_ids_and_words(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(user_id" in store.user_pairs("y")._jdf.queryExecution().toString()
 
 
+def test_store_files_do_not_grow_with_users(spark, tmp_path):
+    store = H.HistoryStore(spark, str(tmp_path / "h"))
+    ids = [f"u{i}" for i in range(300)] + ["007", "7", "U1", "a/b=c", "x" * 300]
+    rows = [(u, i, "A", "B", True) for i, u in enumerate([*ids, "", None])] + [("u0", i, "C", "D", True) for i in range(1000, 1200)]
+    store.save_feedback(spark.createDataFrame(rows, "user_id string, seq bigint, original string, corrected string, accepted boolean").repartition(8))
+    folders = [p for p in (tmp_path / "h").iterdir() if p.is_dir()]
+    assert len(folders) <= H.STORE_BUCKETS and len(list((tmp_path / "h").rglob("*.parquet"))) <= H.STORE_BUCKETS * H.STORE_FILES
+    assert sorted((str(r.user_id), r.seq, r.erronea, r.corregida) for r in store.all_pairs().collect()) == sorted((str(u), i, a.lower(), b.lower()) for u, i, a, b, _ in rows)
+    assert store.all_pairs().columns == ["seq", "erronea", "corregida", "user_id"] and store.all_pairs().where("user_id is null").count() == 1
+    assert [store.user_pairs(u).count() for u in ("u0", "u1", "U1", "007", "a/b=c", "x" * 300, "", "none")] == [201, 1, 1, 1, 1, 1, 1, 0]
+    assert [tuple(r) for r in store.user_vocabulary("u1").collect()] == [("u1", "a", "b")]
+    store.all_pairs().where("seq < 2").write.partitionBy("user_id").parquet(str(tmp_path / "old"))  # the layout before
+    for read in (H.HistoryStore.all_pairs, lambda s: s.user_pairs("u0"), lambda s: s.save_feedback(spark.createDataFrame(rows[:1], "user_id string, seq bigint, original string, corrected string, accepted boolean"))):
+        with pytest.raises(ValueError):
+            read(H.HistoryStore(spark, str(tmp_path / "old")))
+
+
 def test_noise_is_reproducible_and_bounded(spark):
     pool = spark.createDataFrame([(f"la vaca número {i} come hierba en el huerto del abuelo" if i else "",) for i in range(120)] + [(None,)], "text string")
     a = {r.text: r.noisy for r in noise.inject(pool).collect()}

@@ -1,8 +1,8 @@
-"""The users' history as a table partitioned by user."""
+"""The users' history as a table partitioned by a hash of the user."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trazo.functions import text as X
@@ -10,6 +10,12 @@ from trazo.functions import text as X
 #: Sequence numbers of a user that one task orders.
 BUCKET_SEQ = 100_000
 
+#: Folders of a store; part of its layout, as a user's folder is found by this number.
+STORE_BUCKETS = 32
+
+#: Files that one append may put into a folder, so that no task writes all rows of a frequent user.
+STORE_FILES = 4
+
 
 def accepted_feedback(feedback: DataFrame) -> DataFrame:
     """Feedback that is kept: accepted, and neither text empty or null. Columns user_id, original, corrected, accepted and others."""
@@ -47,10 +53,15 @@ def eligible_users(history: DataFrame, least: int = 5) -> DataFrame:
     return history.groupBy("user_id").agg(F.count("*").alias("n_pairs")).where(F.col("n_pairs") >= least)
 
 
+def _bucket(user_id: Column) -> Column:
+    return F.pmod(F.xxhash64(user_id), F.lit(STORE_BUCKETS)).cast("int")
+
+
 class HistoryStore:
-    """History as a parquet table under a path; a user's rows are found by partition pruning.
+    """History as a parquet table under a path; a user's bucket is found by partition pruning, their rows in it by the files' order.
 
-    No user id ever becomes part of a path by hand, so it may hold any character.
+    An append writes STORE_BUCKETS * STORE_FILES files at most, however many users it holds.
+    No user id ever becomes part of a path, so it may hold any character, be empty or of any length.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -58,26 +69,40 @@ class HistoryStore:
 
     def save_feedback(self, feedback: DataFrame) -> None:
         """Appends the accepted feedback (user_id, seq, original, corrected, accepted)."""
-        history_rows(feedback).write.mode("append").partitionBy("user_id").parquet(self.path)
+        self._exists()
+        rows = history_rows(feedback).withColumn("user_id_bucket", _bucket(F.col("user_id")))
+        rows = rows.repartition("user_id_bucket", F.pmod(F.xxhash64("seq"), F.lit(STORE_FILES))).sortWithinPartitions("user_id_bucket", "user_id", "seq")
+        rows.write.mode("append").partitionBy("user_id_bucket").parquet(self.path)
 
-    def all_pairs(self) -> DataFrame:
-        schema = "seq long, erronea string, corregida string, user_id string"
+    def _rows(self) -> DataFrame:
+        schema = "seq long, erronea string, corregida string, user_id string, user_id_bucket int"
         if not self._exists():
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path)
 
+    def _rows_of(self, user_id: str) -> DataFrame:
+        return self._rows().where((F.col("user_id_bucket") == _bucket(F.lit(user_id))) & (F.col("user_id") == user_id)).drop("user_id_bucket")
+
+    def all_pairs(self) -> DataFrame:
+        return self._rows().drop("user_id_bucket")
+
     def user_pairs(self, user_id: str) -> DataFrame:
         """(erronea, corregida, seq) of one user; no rows for an unknown one."""
-        return self.all_pairs().where(F.col("user_id") == user_id).select("erronea", "corregida", "seq")
+        return self._rows_of(user_id).select("erronea", "corregida", "seq")
 
     def user_vocabulary(self, user_id: str | None = None) -> DataFrame:
-        rows = self.all_pairs()
-        return user_vocabulary(rows if user_id is None else rows.where(F.col("user_id") == user_id))
+        return user_vocabulary(self.all_pairs() if user_id is None else self._rows_of(user_id))
 
     def _exists(self) -> bool:
+        """A store in the earlier layout, with a folder for each user, is refused: lookups by bucket would miss its rows."""
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return False
+        if any(s.getPath().getName().startswith("user_id=") for s in fs.listStatus(path)):
+            raise ValueError(f"{self.path} is a store with a folder for each user; write it again")
+        return True
 
 
 def ordered_pairs(history: DataFrame, bucket: int = BUCKET_SEQ) -> DataFrame:
